@@ -121,14 +121,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_IS_WHITE = np.zeros(256, bool)
-_IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of letters and digits; all bytes of other scripts count as letters.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of non-white bytes; runs end with their text."""
+def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of non-white bytes (or of bytes ``inside``);
+    runs end with their text."""
     n = len(data)
-    solid = ~_IS_WHITE[data]
+    solid = inside[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     prev = np.empty(n, bool)

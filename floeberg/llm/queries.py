@@ -5,10 +5,11 @@ from __future__ import annotations
 from .ctw import op2_context_tree_weighting
 from .secret_scan import op5_secret_scans
 from .sharding import op1_hilbert_sharding
+from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op5_secret_scans)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op5_secret_scans, op6_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
