@@ -30,7 +30,7 @@ _CLASS = np.full(256, len(_CLASSES), np.int64)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[list(_chars)] = _k
 N_CLASS = len(_CLASSES) + 1
-N_STATS = N_CLASS + 5
+N_STATS = N_CLASS + 6
 
 
 def passages(part: np.ndarray, at: np.ndarray):
@@ -68,6 +68,9 @@ def passages(part: np.ndarray, at: np.ndarray):
         upper = (part[starts] >= 65) & (part[starts] <= 90)
         stats[:, N_CLASS + 2] = np.bincount(token_bag, upper, total) / many
         stats[:, N_CLASS + 3] = np.bincount(token_bag, ends - starts <= 3, total) / many
+        again = np.zeros(len(starts), bool)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (token_bag[1:] == token_bag[:-1])
+        stats[:, N_CLASS + 5] = np.sqrt(np.bincount(token_bag, again, total) / many) * 2
         stats[:, N_CLASS + 4] = np.bincount(token_bag, minlength=total) / PASSAGE
     return bucket, token_bag, stats, doc
 
