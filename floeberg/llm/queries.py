@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ctw import op2_context_tree_weighting
+from .dartminhash import op3_dartminhash
 from .mil_quality import op9_quality_mil
 from .secret_scan import op5_secret_scans
 from .sharding import op1_hilbert_sharding
@@ -10,7 +11,7 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op5_secret_scans, op6_toxicity, op9_quality_mil)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op5_secret_scans, op6_toxicity, op9_quality_mil)}
 
 
 def oracle_sql() -> dict[str, str]:
