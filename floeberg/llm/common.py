@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: A lookup side is broadcast only when it has at most this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -79,13 +79,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, most_rows: int = 1 << 14):
     """Row ranges (lo, hi) of about ``most`` bytes; one longer text goes alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + most_rows)
+        yield lo, hi
+        lo = hi
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
