@@ -160,3 +160,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id's text, modulo n: the fold of a document."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def with_locator(docs: DataFrame) -> DataFrame:
+    """docs with _loc: file and row of each record, or where the rows don't
+    come straight from files, a number that repeats for an unchanged plan."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        out = docs.withColumn("_loc", F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string")))
+        out.schema  # noqa: B018  resolves the columns
+        return out
+    except AnalysisException:
+        return docs.withColumn("_loc", F.monotonically_increasing_id().cast("string"))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose _loc is in ``dropped``."""
+    gone = dropped.select("_loc")
+    return with_locator(docs).join(maybe_broadcast(gone, gone.count()), "_loc", "left_anti").drop("_loc")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ctw import op2_context_tree_weighting
 from .dartminhash import op3_dartminhash
+from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mil_quality import op9_quality_mil
 from .secret_scan import op5_secret_scans
 from .sharding import op1_hilbert_sharding
@@ -11,8 +12,8 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op5_secret_scans, op6_toxicity, op9_quality_mil)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op5_secret_scans, op6_toxicity, op8_exact_dedup, op9_quality_mil)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": OP8_SQL}
