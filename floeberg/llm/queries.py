@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from .bestfit import op10_best_fit_packing
 from .ctw import op2_context_tree_weighting
 from .dartminhash import op3_dartminhash
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .mil_quality import op9_quality_mil
+from .pfair import op4_pfair_mixing
 from .secret_scan import op5_secret_scans
 from .sharding import op1_hilbert_sharding
 from .toxicity import op6_toxicity
+from .winnowing import op7_winnowing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op5_secret_scans, op6_toxicity, op8_exact_dedup, op9_quality_mil)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op4_pfair_mixing, op5_secret_scans, op6_toxicity, op7_winnowing, op8_exact_dedup, op9_quality_mil, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return ToxicityModel(buckets, w, b)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with the score of each text and predicted."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns ``keep`` with the score of each text and predicted (or ``names``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
@@ -179,9 +179,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
         for batch in batches:
             for lo, hi, bucket, row in _each(batch):
                 score = model.score(*model.present(bucket, row), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keep] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keep] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*keep, *names])
 
-    return kept.mapInArrow(run, schema + ", score double, predicted int")
+    return kept.mapInArrow(run, schema + f", {names[0]} double, {names[1]} int")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
