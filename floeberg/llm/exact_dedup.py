@@ -42,11 +42,18 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "_loc"))
 
 
-def stream_state(records_path: str, schema, state_path: str, spark) -> DataFrame:
+#: Records for one state partition.  The number of state partitions is fixed for
+#: a state's life, so it follows the corpus and not the session's shuffle setting.
+STATE_ROWS = 500_000
+
+
+def stream_state(records_path: str, schema, state_path: str, spark, rows: int) -> DataFrame:
     """Run the stream over all records not yet seen; the state's rows.
 
     (digest, best, group_size), as of the last finished batch."""
-    old = {k: spark.conf.get(k, None) for k in _STATE}
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    conf = _STATE | {"spark.sql.streaming.internal.stateStore.partitions": str(parts)}
+    old = {k: spark.conf.get(k, None) for k in conf}
     batches: list[str] = []
 
     def snapshot(rows: DataFrame, number: int) -> None:
@@ -54,7 +61,7 @@ def stream_state(records_path: str, schema, state_path: str, spark) -> DataFrame
         batches.append(f"{state_path}/snapshots/{number}")
 
     try:
-        for k, v in _STATE.items():
+        for k, v in conf.items():
             spark.conf.set(k, v)
         stream = spark.readStream.schema(schema).parquet(records_path)
         state = stream.groupBy("digest").agg(_best().alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -78,7 +85,7 @@ def exact_duplicates(docs: DataFrame, digest=sha256, state_path: str | None = No
     located.select("doc_id", "_loc", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), digest(full).alias("digest"), *([] if digest is sha256 else [sha256(full).alias("sha")])).write.parquet(path)
     records = spark.read.parquet(path)
     rows = records.count()
-    state = stream_state(path, records.schema, state_path or new_path(spark, "dedup-state"), spark)
+    state = stream_state(path, records.schema, state_path or new_path(spark, "dedup-state"), spark, rows)
     # Full bytes of every group with a hit: the least and the greatest text must be one.
     hits = state.where("group_size > 1").select("digest")
     n_hits = hits.count()
