@@ -1,0 +1 @@
+"""Readers and writers of graph and matrix files."""

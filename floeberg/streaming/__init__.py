@@ -1,0 +1 @@
+"""Message queues as batch tables and as streams."""
