@@ -186,17 +186,16 @@ def quire_dot(xs, ys, width: int, es: int, start: Fraction = Fraction(0)) -> int
 
 # ------------------------------------------------------------------- whole columns
 
-_CACHED = lru_cache(maxsize=1 << 16)
 _OPS = {"add": add, "subtract": subtract, "multiply": multiply, "divide": divide, "fused": fused, "sqrt": square_root, "round": round_to_integer, "to_integer": to_integer, "from_integer": from_integer, "from_double": from_double}
 
 
 def column(op: str, width: int, es: int | None = None):
     """A column function: posit bits in, bits (or integers) out, null for null."""
     es = ES[width] if es is None else es
-    f = _CACHED(lambda *a: _OPS[op](*a, width, es))
 
     @F.pandas_udf("long")
     def run(*columns: pd.Series) -> pd.Series:
+        f = lru_cache(maxsize=1 << 16)(lambda *a: _OPS[op](*a, width, es))
         values = [c.to_numpy(dtype=object) for c in columns]
         out = [None if any(v is None or v != v for v in row) else f(*(v if op == "from_double" else int(v) for v in row)) for row in zip(*values, strict=True)]
         return pd.Series(out, dtype="Int64")

@@ -2,8 +2,12 @@
 
 
 def queries() -> dict:
-    return {}
+    from .queries import QUERIES
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .queries import SQL
+
+    return dict(SQL)
