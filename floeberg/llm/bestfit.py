@@ -104,7 +104,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         out = pd.DataFrame({"doc_id": part["doc_id"].take(at).to_numpy(), "piece": [p[1] for p in placed], "window": part["window"].take(at).to_numpy(), "bin": [p[2] for p in placed], "start": [p[3] for p in placed], "length": [p[4] for p in placed]})
         return out[["doc_id", "piece", "window", "bin", "start", "length"]]
 
-    return items.select("window", "doc_id", "size", F.coalesce("source", F.lit("\x00null")).alias("source"), "cluster").groupBy("window").applyInPandas(one, f"doc_id {kind}, piece int, window {window}, bin int, start int, length int")
+    # pandas has no null integers: a null id travels as text, and so do all others.
+    ready = items.select("window", F.col("doc_id").cast("string").alias("doc_id"), "size", F.coalesce("source", F.lit("\x00null")).alias("source"), "cluster")
+    out = ready.groupBy("window").applyInPandas(one, f"doc_id string, piece int, window {window}, bin int, start int, length int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def by_hash(docs: DataFrame, rows: int, size: int = WINDOW) -> Column:

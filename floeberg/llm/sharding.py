@@ -115,17 +115,18 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, dimensions: tuple[str, ...]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> DataFrame:
-    """Write one run per shard in curve order; returns each file's ranges.
+    """Write one run per shard in curve order (folder _shard=N, rows with _slot and
+    _bytes beside their own columns); returns each run's ranges.
 
     The result has a row per shard with rows, bytes and the min and max of every
     dimension: what a reader needs to skip files."""
     marked = docs.withColumn("_row", F.monotonically_increasing_id())
     marked = materialize(marked, "hilbert-rows")
-    placed = hilbert_shards(marked, shards, dimensions, bits, keep=("_row",)).select("_row", "shard", "slot", "size")
-    out = marked.join(placed, "_row").drop("_row").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
-    out.write.partitionBy("shard").parquet(path)
+    placed = hilbert_shards(marked, shards, dimensions, bits, keep=("_row",)).select("_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("size").alias("_bytes"))
+    out = marked.join(placed, "_row").drop("_row").repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_slot")
+    out.write.partitionBy("_shard").parquet(path)
     ranges = [f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))]
-    return docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), *ranges)
+    return docs.sparkSession.read.parquet(path).groupBy(F.col("_shard").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes"), *ranges)
 
 
 def op1_hilbert_sharding(spark, sf_dir: str) -> DataFrame:

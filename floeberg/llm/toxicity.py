@@ -109,12 +109,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior: float, epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior: float, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias from lists of the features present in each text."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(n_features), -2.0
     gw, gb = np.full(n_features, 1e-6), 1e-6
     n_yes = max(1, min(64, len(yes)))
+    epochs = max(epochs, -(-600 * 256 // max(len(no), 1)))  # small samples: at least 600 steps
     for _ in range(epochs):
         order, turn = rng.permutation(len(no)), rng.permutation(len(yes))
         for k, lo in enumerate(range(0, len(no), 256)):
