@@ -148,15 +148,17 @@ def level_sets(a: DataFrame, lower: bool = True) -> DataFrame:
 
     Peels all rows without open dependencies at once; one job per level."""
     deps = cut(triangle(a, lower, strict=True).select("i", "j").distinct())
-    left = cut(a.select("i").distinct())
-    done, level = None, 0
+    left, done, level = a.select("i").distinct(), None, 0
     while True:
-        blocked = deps.join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
-        free = cut(left.join(blocked, "i", "left_anti").withColumn("level", F.lit(level)))
-        if not free.limit(1).count():
-            return done if done is not None else free
+        blocked = deps.join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i", F.lit(True).alias("_blocked")).distinct()
+        both = cut(left.join(blocked, "i", "left"))
+        free = both.where("_blocked is null").select("i", F.lit(level).alias("level"))
         done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "i", "left_anti"))
+        left = both.where("_blocked").select("i")
+        if not left.limit(1).count():
+            return done
+        if not free.limit(1).count():
+            raise ValueError("the dependencies have a cycle")
         level += 1
 
 

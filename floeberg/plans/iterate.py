@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="floeberg-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="floeberg-"))
-    return df.checkpoint()
+    """Cut lineage: a table written to the shared folder and read back.
+
+    Unlike a checkpoint, which runs the plan once more to write it, this runs it
+    once; like one, it survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], iterations: int, done: Callable[[DataFrame, DataFrame, int], bool] | None = None) -> DataFrame:
