@@ -321,3 +321,86 @@ def half(value: Column) -> Column:
             return x.astype("float16").astype("float64")
 
     return run(value)
+
+
+# ------------------------------------------------- other layouts and accumulators
+
+
+def encode_sign_magnitude(x: Fraction | None, width: int, es: int) -> int:
+    """The variant without complement: a sign bit before the magnitude's pattern."""
+    if x is None:
+        return nar(width)
+    return encode_exact(abs(x), width, es) | (1 << (width - 1) if x < 0 else 0)
+
+
+def decode_sign_magnitude(bits: int, width: int, es: int) -> Fraction | None:
+    if bits == nar(width):
+        return None
+    x = decode_exact(bits & ((1 << (width - 1)) - 1), width, es)
+    return -x if bits >> (width - 1) else x
+
+
+#: The fixed-regime teaching layout: sign, 6 regime bits, 2 exponent bits, 23 fraction bits.
+_REGIME, _EXP, _FRACTION = 6, 2, 23
+
+
+def encode_fixed_regime(x: Fraction) -> str:
+    """Bit string with the regime run left-aligned in a field of fixed width; fractions are cut."""
+    if x == 0:
+        return "0" * 32
+    size = abs(x)
+    scale = size.numerator.bit_length() - size.denominator.bit_length()
+    if size < Fraction(2) ** scale:
+        scale -= 1
+    k, e = scale >> _EXP, scale & 3
+    run = "1" * (k + 1) + "0" if k >= 0 else "0" * -k + "1"
+    if len(run) > _REGIME + (k >= 0):
+        raise OverflowError("the regime doesn't fit its field")
+    digits = int((size / Fraction(2) ** scale - 1) * (1 << _FRACTION))
+    return ("1" if x < 0 else "0") + run.ljust(_REGIME, "0")[:_REGIME] + format(e, "02b") + format(digits, f"0{_FRACTION}b")
+
+
+def decode_fixed_regime(bits: str) -> Fraction:
+    if "1" not in bits:
+        return Fraction(0)
+    run = bits[1 : 1 + _REGIME]
+    first = run[0]
+    n = len(run) - len(run.lstrip(first))
+    k = n - 1 if first == "1" else -n
+    e = int(bits[1 + _REGIME : 1 + _REGIME + _EXP], 2)
+    part = Fraction(int(bits[1 + _REGIME + _EXP :], 2), 1 << _FRACTION)
+    x = (1 + part) * Fraction(2) ** (4 * k + e)
+    return -x if bits[0] == "1" else x
+
+
+def fixed_regime(op: str, a: str, b: str) -> str:
+    x, y = decode_fixed_regime(a), decode_fixed_regime(b)
+    return encode_fixed_regime({"add": lambda: x + y, "subtract": lambda: x - y, "multiply": lambda: x * y, "divide": lambda: x / y}[op]())
+
+
+def exact_sum():
+    """Grouped aggregate: the correctly rounded sum of doubles, whatever their order."""
+    from math import fsum
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> float:
+        return fsum(x.dropna())
+
+    return run
+
+
+def regime_traffic(value: Column, es: int = 2, width: int = 32) -> Column:
+    """Regime bits that a value needs: the key of the traffic histogram."""
+    k = F.floor(F.log2(F.abs(value)) / (1 << es))
+    return F.when(value == 0, F.lit(None)).otherwise(F.least(F.when(k >= 0, k + 2).otherwise(1 - k), F.lit(width - 1))).cast("int")
+
+
+def nearest_power_of_four(x: Column) -> Column:
+    return F.pow(F.lit(4.0), F.rint(F.log2(F.abs(x)) / 2))
+
+
+def precision_envelope(spark, width: int = 32, es: int = 2):
+    """(k, fraction_bits) of every regime value: how precise each magnitude is."""
+    k = F.col("id") - (width - 2)
+    bits = F.when(k >= 0, k + 2).otherwise(1 - k)
+    return spark.range(2 * (width - 2) + 1).select(k.alias("k"), F.greatest(F.lit(width - 1 - es) - bits, F.lit(0)).cast("int").alias("fraction_bits"))

@@ -500,6 +500,60 @@ def embedding_mse(spark, sf):
     return pair.select("a", r(total / F.size("x"), 9).alias("mse"))
 
 
+@query("WITH a AS (SELECT CASE WHEN k >= 0 THEN k + 2 ELSE 1 - k END AS bits FROM (SELECT floor(log2(abs(value)) / 4) AS k FROM events WHERE value <> 0)) SELECT CAST(least(bits, 31) AS INTEGER) AS bits, count(*) AS n FROM a GROUP BY 1")
+def posit_traffic(spark, sf):
+    return table(spark, sf, "events").select(P.regime_traffic(F.col("value")).alias("bits")).where("bits is not null").groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(i - 30 AS BIGINT) AS k, CAST(greatest(29 - CASE WHEN i >= 30 THEN i - 28 ELSE 31 - i END, 0) AS INTEGER) AS fraction_bits FROM range(61) t(i)")
+def posit_envelope(spark, sf):
+    return P.precision_envelope(spark)
+
+
+@query("SELECT s_suppkey, pow(4.0, round_even(log2(abs(s_acctbal)) / 2, 0)) AS p FROM supplier WHERE s_acctbal <> 0")
+def closest_power_four(spark, sf):
+    return table(spark, sf, "supplier").where("s_acctbal <> 0").select("s_suppkey", P.nearest_power_of_four(F.col("s_acctbal")).alias("p"))
+
+
+@query()
+def half_round(spark, sf):
+    return table(spark, sf, "events").select("event_id", P.half(F.col("value")).alias("h"))
+
+
+@query("SELECT user_id % 20 AS k, round(fsum(value), 6) + 0.0 AS s FROM events GROUP BY 1")
+def exact_sums(spark, sf):
+    return table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("k")).agg(P.exact_sum()("value").alias("s")).select("k", r("s", 6).alias("s"))
+
+
+@query("SELECT CAST(24 AS DOUBLE) AS det")
+def det_small(spark, sf):
+    a = M.transpose(_system(spark, _SMALL).select("i", "j", "v"))
+    lu_rows = V.factor(a.withColumn("g", F.lit(0).cast("long")).select("g", "i", "j", "v")).where("name = 'U' and i = j")
+    return lu_rows.agg(r(F.product("v"), 9).alias("det"))
+
+
+@query()
+def random_lower_matrix(spark, sf):
+    return M.random_matrix(spark, 1000, 10, "lower")
+
+
+@query("SELECT CAST(k AS BIGINT) AS i, CAST((SELECT count(*) FROM (VALUES (k - 1, k % 30 > 0), (k - 30, k >= 30)) t(j, ok) WHERE ok) AS BIGINT) AS in_degree FROM range(1, 900) r(k)")
+def dependency_counts(spark, sf):
+    return M.dependency_counts(M.laplace_5pt(spark, 30))
+
+
+@query("SELECT DISTINCT CAST(i // 4 AS BIGINT) AS i, CAST(j // 4 AS BIGINT) AS j, 1.0::DOUBLE AS v FROM (WITH " + laplace_sql(12) + " SELECT * FROM a)")
+def block_pattern(spark, sf):
+    return M.block_pattern(M.laplace_5pt(spark, 12), 4)
+
+
+@query()
+def sub_modules(spark, sf):
+    """Coarse tuning: modules of the supplier-part graph searched on their own."""
+    fl = flow(spark, sf, 2)
+    return I.sub_modules(G.Flow(cut(fl.nodes), cut(fl.flows)), by_tens(fl.nodes), sweeps=1)
+
+
 # ------------------------------------------------------------------ signals and codes
 
 _BINS = "s AS MATERIALIZED (SELECT event_id % 64 AS t, sum(value) AS x FROM events GROUP BY 1)"

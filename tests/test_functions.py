@@ -85,3 +85,23 @@ def test_gray_and_arc(spark):
     g = [r[0] for r in spark.range(8).select(S.gray_encode(F.col("id"))).collect()]
     assert g == [0, 1, 3, 2, 6, 7, 5, 4]
     assert S.arc_length(spark, 1000).first()[0] == pytest.approx(6.866909521655, abs=1e-9)
+
+
+def test_other_layouts():
+    #: Recorded strings of the fixed-regime layout.
+    assert P.encode_fixed_regime(Fraction(123)) == "01100001011101100000000000000000"
+    assert P.encode_fixed_regime(Fraction(436)) == "01110000010110100000000000000000"
+    for a, b in ((123, 436), (8745, 34), (-12, -6), (235, 43), (78, 34), (1334, 443), (-1256, -23)):
+        x, y = P.encode_fixed_regime(Fraction(a)), P.encode_fixed_regime(Fraction(b))
+        assert P.decode_fixed_regime(P.fixed_regime("add", x, y)) == a + b and P.decode_fixed_regime(P.fixed_regime("subtract", x, y)) == a - b
+    for v in (Fraction(-3, 2), Fraction(0), Fraction(100)):
+        assert P.decode_sign_magnitude(P.encode_sign_magnitude(v, 32, 2), 32, 2) == v
+
+
+def test_clock_of_message_passing():
+    from floeberg.operators.messages import cannon_clock
+
+    one = cannon_clock([[5]], [[4]])
+    assert one["finish"] == 20 and one["messages"] == 0
+    four = cannon_clock([[1, 1], [1, 1]], [[1, 1], [1, 1]])
+    assert four["messages"] == 8 and four["finish"] > 20
