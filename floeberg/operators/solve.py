@@ -144,8 +144,8 @@ def solve_triangle(a: np.ndarray, b: np.ndarray, lower: bool) -> np.ndarray:
 def refine(a: np.ndarray, b: np.ndarray, low=np.float32, high=np.float64, symmetric: bool = False, tolerance: float = 1e-12, most: int = 1000) -> tuple[np.ndarray, int]:
     """Factor in low precision, correct with residuals in high precision."""
     if symmetric:
-        r = cholesky(a.astype(low))
-        solve = lambda v: solve_triangle(r, solve_triangle(r.T, v.astype(low), True), False)
+        up = cholesky(a.astype(low))
+        solve = lambda v: solve_triangle(up, solve_triangle(up.T, v.astype(low), True), False)
     else:
         lo, up = lu(a.astype(low))
         solve = lambda v: solve_triangle(up, solve_triangle(lo, v.astype(low), True), False)
