@@ -3,6 +3,7 @@ text access for Arrow batches, and joins that survive hot keys."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: A lookup side is broadcast only when it has at most this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -63,6 +64,16 @@ def lookup(df: DataFrame, table: DataFrame, key: str, size: str, rows: int, how:
     return out.select(*df.columns, *(F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in cols))
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Hold Arrow batches of long texts to a few MB.
+
+    The setting is read when a plan runs, so it is left set in the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(key))
+    if now is None or not 0 < int(now[1]) <= most:
+        spark.conf.set(key, str(most))
+
+
 # ---------------------------------------------------------------- byte access
 
 
@@ -157,6 +168,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def merge_counts(first: tuple[np.ndarray, np.ndarray], more: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of tables of (sorted keys, counts)."""
+    if not more:
+        return first
+    keys, at = np.unique(np.concatenate([first[0], *(m[0] for m in more)]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([first[1], *(m[1] for m in more)]), len(keys)).astype(np.int64)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id's text, modulo n: the fold of a document."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))

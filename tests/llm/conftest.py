@@ -20,6 +20,7 @@ def odd_rows():
     texts += [" ".join(rng.choices(vocabulary, k=rng.randint(1, 90))) for _ in range(60)]
     rows = [(i * 7 % 101 + 100 * (i % 3), t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "b", None]), None if t is None else len(t), 0.5, 3, True, 1) for i, t in enumerate(texts)]
     rows.append((None, "no id", None, None, None, None, None, None, None))
+    rows.append((None, rows[11][1], None, None, None, None, None, None, None))  # a copy without id
     rows.append(rows[15])  # a whole row twice
     return rows
 
