@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, lower_ascii, slices, text_bytes, word_hashes, words
+from .common import crc_mod, lower_ascii, slices, small_batches, text_bytes, word_hashes, words
 
 PASSAGE, BUCKETS, WIDTH, GATE = 50, 1 << 13, 24, 16
 MOST_LABELLED = 6_000
@@ -185,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with the score of each text and predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
@@ -192,7 +193,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] =
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in slices(offsets, 1 << 19):
+            for lo, hi in slices(offsets):
                 score = np.round(shared.value.score(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), 6)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in keep] + [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LETTERS, crc_mod, lower_ascii, mix64, slices, text_bytes, word_hashes, words
+from .common import LETTERS, crc_mod, lower_ascii, merge_counts, mix64, slices, small_batches, text_bytes, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Lengths in bytes of the word beginnings that are features beside the word.
@@ -64,19 +64,18 @@ def choose_features(sample: DataFrame, n_yes: int, n_no: int, most: int) -> np.n
     """Buckets that positives have more often, by likelihood ratio."""
 
     def run(batches):
-        seen = np.zeros((2, BUCKETS), np.int32)
+        seen, pending = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
         for batch in batches:
             sign = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, bucket, row in _each(batch):
                 own = np.unique(row * BUCKETS + bucket)
-                for k in (0, 1):
-                    seen[k] += np.bincount(own[sign[own // BUCKETS + lo] == k] % BUCKETS, minlength=BUCKETS).astype(np.int32)
-        keys = np.flatnonzero(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(seen[1, keys].astype(np.int64)), pa.array(np.zeros(len(keys), np.int64))], ["bucket", "yes", "no"])
-        keys = np.flatnonzero(seen[0])
-        for lo in range(0, len(keys), 1 << 17):
-            k = keys[lo : lo + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.zeros(len(k), np.int64)), pa.array(seen[0, k].astype(np.int64))], ["bucket", "yes", "no"])
+                pending.append(np.unique(own % BUCKETS * 2 + sign[own // BUCKETS + lo], return_counts=True))
+                if len(pending) == 32:
+                    seen, pending = merge_counts(seen, pending), []
+        keys, n = merge_counts(seen, pending)
+        for lo in range(0, len(keys), 1 << 16):
+            k, c = keys[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k // 2), pa.array(np.where(k % 2 == 1, c, 0)), pa.array(np.where(k % 2 == 0, c, 0))], ["bucket", "yes", "no"])
 
     counts = sample.select("text", "positive").mapInArrow(run, "bucket long, yes long, no long").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     a, b = F.col("yes") / F.lit(float(n_yes)), (F.col("no") + 0.5) / F.lit(float(max(n_no, 1)))
@@ -141,6 +140,7 @@ def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = FEATURES, prior: float | None = None) -> ToxicityModel:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) to learn from."""
+    small_batches(docs.sparkSession)
     ids, share = choose_sample(docs, labels, most_positive, most_unlabelled)
     ids = ids.cache()  # at most most_positive + most_unlabelled ids
     size = dict(ids.groupBy("positive").count().collect())
@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Columns ``keep`` with the score of each text and predicted (or ``names``)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
