@@ -2,12 +2,12 @@
 
 
 def queries() -> dict:
-    from .queries import QUERIES
+    from .registry import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from .queries import SQL
+    from .registry import SQL
 
     return dict(SQL)

@@ -117,9 +117,9 @@ def diag_scale(spark, sf):
     return M.scale_by_diagonal(quantities(spark, sf), "mean")
 
 
-@query(f"WITH {_QTY} SELECT i - 10 AS i, j - 20 AS j, v FROM q WHERE i BETWEEN 10 AND 59 AND j BETWEEN 20 AND 219")
+@query(f"WITH {_QTY} SELECT i - 2 AS i, j - 20 AS j, v FROM q WHERE i BETWEEN 2 AND 59 AND j BETWEEN 20 AND 219")
 def sub_matrix(spark, sf):
-    return M.rectangle(quantities(spark, sf), 10, 59, 20, 219)
+    return M.rectangle(quantities(spark, sf), 2, 59, 20, 219)
 
 
 @query("SELECT s_suppkey AS i, CAST(sum(nnz) OVER (ORDER BY s_suppkey) - nnz AS BIGINT) AS start, nnz FROM (SELECT s_suppkey, count(l_suppkey) AS nnz FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1)")

@@ -36,3 +36,13 @@ def test_query(spark, duck, name):
     for c in columns:
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
         assert same.all(), (c, got[c][~same].head().tolist(), want[c][~same].head().tolist())
+
+
+def test_entry_can_be_asked_again_and_again(spark):
+    import __spark_entry__ as entry
+
+    for _ in range(2):
+        assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(callable(f) for f in entry.queries().values())
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert entry.entry(spark).limit(1).count() == 1
