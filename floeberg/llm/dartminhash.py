@@ -14,8 +14,10 @@ propose each text's best partners; these pairs are verified by the exact
 weighted Jaccard similarity (0.8 or more), and verified links form classes.  Where
 likely pairs between different classes are left, the sets of their texts are
 sent to their blocks and every such pair is verified there.  Larger buckets
-are cut into blocks whose best-connected texts meet again in the next level.
-So each text meets at most BLOCK others for each band, whatever a group's size.
+are cut into blocks whose best-connected texts meet again in the next level;
+then blocks meet two at a time, except for pairs inside a bucket's largest
+class.  So all texts of different classes that share a band are compared; a
+task holds about BLOCK texts, whatever a group's size.
 
 Cases: null counts as empty; texts with the same words are one text with
 copies, and empty texts are copies of each other; a text under five words is
@@ -326,6 +328,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     return docs.select(key.alias("_id"), "text").join(maybe_broadcast(side, rows), "_id").select("uid", "w1", "w2", "text").mapInArrow(run, "uid long, elements array<long>").dropDuplicates(["uid"])
 
 
+def _across(members: DataFrame) -> DataFrame | None:
+    """(key, blk, uid): two blocks at a time of the large buckets (key, uid, comp)
+    that still have several classes, or None.
+
+    Pairs inside the largest class of a bucket need no comparison; every other
+    pair of texts of different classes meets in at least one pair of blocks."""
+    per = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("c")).where("c > top.n")
+    half = BLOCK // 2
+    top = materialize(top.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / half).alias("mains"), F.ceil((F.col("c") - F.col("top.n")) / half).alias("rests")), "dart-large")
+    n = top.count()
+    if not n:
+        return None
+    rest = F.col("comp") != F.col("main")
+    dealt = members.join(maybe_broadcast(top, n), "key").withColumn("own", F.pmod(F.xxhash64("uid", "key"), F.when(rest, F.col("rests")).otherwise(F.col("mains"))))
+    pair = lambda a, b, odd: -((a * (1 << 24) + b) * 2 + 2 + odd)  # noqa: E731  negative: no hubs
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("mains") - 1), lambda q: pair(F.col("own"), q, 0))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda q: q != F.col("own"))
+    with_rest = F.transform(others, lambda q: pair(F.least("own", q), F.greatest("own", q), 1))
+    as_main = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1), lambda q: pair(q, F.col("own"), 0))
+    blocks = F.when(rest, F.concat(with_main, with_rest)).otherwise(as_main)
+    return materialize(dealt.select("key", F.explode(blocks).alias("blk"), "uid"), "dart-across")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, n_texts and kept of every row (and _loc, if there)."""
     small_batches(docs.sparkSession)
@@ -348,6 +374,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             return rows_.withColumn("comp", F.col("uid"))
         return rows_.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
 
+    def verify(found: DataFrame) -> DataFrame | None:
+        """Links the proposed pairs that are alike; the texts with more likely pairs, if any."""
+        nonlocal comps
+        pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sa, sb = sets.select(F.col("uid").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("uid").alias("b"), F.col("elements").alias("eb"))
+        both = F.size(F.array_intersect("ea", "eb"))
+        fresh = materialize(pairs.join(sa, "a").join(sb, "b").where(both >= SIMILARITY * (F.size("ea") + F.size("eb") - both) - 1e-9).select("a", "b"), "dart-verified")
+        if fresh.limit(1).count():
+            comps = _merge(comps, fresh)
+        more = found.where("kind = 1").select("key", F.col("b").alias("blk"), F.col("a").alias("uid"))
+        return more if more.limit(1).count() else None
+
+    def settle(more: DataFrame) -> None:
+        nonlocal comps
+        last_ones = with_class(more.join(sketches.select("uid", "sketch"), "uid")).join(sets, "uid")
+        fresh = materialize(_in_blocks(last_ones, 0, BLOCK, settle=True).select("a", "b").distinct(), "dart-verified")
+        if fresh.limit(1).count():
+            comps = _merge(comps, fresh)
+
     more = None
     for first, last in ROUNDS if n_likely else ():
         full, found, level = with_class(members.join(sketches.select("uid", "sketch"), "uid")), None, 0
@@ -360,21 +405,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 break
             sizes = hubs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
             full, level = hubs.join(sizes, "key").join(full.select("uid", "sketch", "comp").dropDuplicates(["uid"]), "uid"), level + 1
-        pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sa, sb = sets.select(F.col("uid").alias("a"), F.col("elements").alias("ea")), sets.select(F.col("uid").alias("b"), F.col("elements").alias("eb"))
-        both = F.size(F.array_intersect("ea", "eb"))
-        fresh = materialize(pairs.join(sa, "a").join(sb, "b").where(both >= SIMILARITY * (F.size("ea") + F.size("eb") - both) - 1e-9).select("a", "b"), "dart-verified")
-        if fresh.limit(1).count():
-            comps = _merge(comps, fresh)
-        more = found.where("kind = 1").select("key", F.col("b").alias("blk"), F.col("a").alias("uid"))
-        if not more.limit(1).count():
-            more = None
+        more = verify(found)
+        if more is None:
             break
     if more is not None:
-        last_ones = with_class(more.join(sketches.select("uid", "sketch"), "uid")).join(sets, "uid")
-        fresh = materialize(_in_blocks(last_ones, 0, BLOCK, settle=True).select("a", "b").distinct(), "dart-verified")
-        if fresh.limit(1).count():
-            comps = _merge(comps, fresh)
+        settle(more)
+    across = _across(with_class(members.where(F.col("c") > BLOCK))) if n_likely else None
+    for first, last in ROUNDS if across is not None else ():
+        more = verify(materialize(_in_blocks(with_class(across.join(sketches.select("uid", "sketch"), "uid")), first, last), "dart-pairs"))
+        if more is None:
+            break
+    if across is not None and more is not None:
+        settle(more)
     labels = groups.join(comps, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")) if comps is not None else groups.withColumn("comp", F.col("uid"))
     classes = labels.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("best"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     classes = classes.select("comp", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("best_uid"), "class_size", "n_texts")

@@ -170,6 +170,19 @@ def test_large_near_group_in_small_blocks(spark, monkeypatch):
     _same_classes(dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_star_shaped_group_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dart, "BLOCK", 64)
+    rng = random.Random(4)
+    base = [f"t{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 500):
+        t = list(base)
+        for i in rng.sample(range(6, 114), 2):
+            t[i] = f"z{rng.random()}"
+        rows.append((k, " ".join(t)))
+    _same_classes(dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_pfair_stays_within_a_block():
     for shares in ({"a": 7, "b": 2, "c": 1}, {"a": 341, "b": 341, "c": 342}, {"a": 1}):
         plan, period = pfair.earliest_deadline(shares), sum(shares.values())
