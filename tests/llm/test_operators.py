@@ -112,6 +112,25 @@ def test_deeper_contexts_shorten_held_out_text(spark):
     assert total[0] < total[1] < total[2]
 
 
+def test_all_contexts_count_whatever_the_head(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc é", k=rng.randint(0, 40))) for _ in range(60)] + ["zq"]
+    docs = spark.createDataFrame([(i, i % 4 == 0, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    train = [t for i, t in enumerate(texts) if i % 4]
+    for depth in (1, 3):
+        data, at = text_bytes(pa.array(train))
+        grams = ctw.byte_grams(data, at, depth)[0]
+        tables = [np.unique(grams & np.uint64((1 << (8 * d + 8)) - 1), return_counts=True) for d in range(depth + 1)]
+        data, at = text_bytes(pa.array(texts))
+        want = ctw.ContextTrees(depth, tables).score(*ctw.byte_grams(data, at, depth), len(texts))
+        model, counts = ctw.train(docs.where("not held_out"), depth)
+        for head in (7, 1 << 19):
+            got = dict(ctw.score_texts(docs, model, counts, head_grams=head).select("doc_id", "score").collect())
+            assert [got[i] for i in range(len(texts))] == pytest.approx(list(want), abs=1e-4)
+    many = spark.range(9).selectExpr("id as key", "100000 + id as n")  # all counts over 65,536
+    assert list(ctw._most_frequent(many, 4)[0]) == [5, 6, 7, 8]
+
+
 def test_darts_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     e = dart.mix64(np.arange(60).astype(np.uint64))
