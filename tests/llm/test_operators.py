@@ -255,6 +255,20 @@ def test_nested_layers(first, second):
     assert "end" in redact(text)
 
 
+@pytest.mark.parametrize("hide", [
+    lambda s: base64.encodebytes(b"lorem ipsum \xc3\xa9 " * 3 + b"x" * 7 + s + b" dolor sit amet " * 4).decode(),
+    lambda s: base64.encodebytes(gzip.compress(random.Random(1).randbytes(300).hex().encode() + b" " + s)).decode().replace("\n", "\r\n"),
+    lambda s: "example.com/path/" + base64.b64encode(s).decode(), lambda s: base64.b64encode(s + b" ab").decode() + "-suffix",
+    lambda s: "example.com/a/" + base64.urlsafe_b64encode(zlib.compress(s)).decode(),
+    lambda s: "0x" + s.hex(), lambda s: "0x" + zlib.compress(s).hex(), lambda s: base64.b64encode(b"\x00\xff\x01" + s + b"\xfe").decode(),
+])
+def test_wrapped_and_glued_layers(hide):
+    hidden = hide(SECRET.encode())
+    text = f"çé {hidden} end"
+    found = [(a, b) for a, k, b in find_secrets(text)[1] if k == 0]
+    assert found and all(3 <= a < b <= 3 + len(hidden) for a, b in found)
+
+
 def test_plain_text_has_no_layers_and_loops_end():
     assert find_secrets("100%25 %zz \\u12 &#999999999; AKIA" * 50)[1] == []
     text = "token=abcdef1"
