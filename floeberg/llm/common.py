@@ -9,12 +9,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
 SLICE_BYTES = 1 << 18
-#: A lookup side is broadcast only when it has at most this many rows.
+#: A lookup side is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 48 << 20
+#: Bytes that a value of these types is counted with.
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "string": 150, "binary": 150}
 
 WHITE = "\\x20\\x09-\\x0D"
 
@@ -22,9 +25,11 @@ WHITE = "\\x20\\x09-\\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session has none (local tests) a temporary one is set."""
+    Only where a local session has none (tests) a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="floeberg-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,12 +43,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_written", None)):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def _width(kind: T.DataType) -> int:
+    if isinstance(kind, T.StructType):
+        return sum(_width(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return 32 * _width(kind.elementType)
+    return _WIDTH.get(kind.simpleString(), 8)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast behind a check of the size; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+    """Broadcast behind a check of rows and bytes; beyond it the join shuffles."""
+    small = rows <= limit and rows * _width(df.schema) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df.hint("merge")
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, size: str, rows: int, how: str = "left") -> DataFrame:
