@@ -164,22 +164,22 @@ def fit_mil(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int =
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = 48 << 20) -> QualityModel:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, quality).
 
-    The sample is bounded in documents and, by leaving out documents from the
-    hash order's end, in bytes."""
+    The sample is bounded in documents and in bytes: a text that doesn't fit
+    in what is left is skipped, and the next ones in hash order are tried."""
     order = F.xxhash64("doc_id", F.lit(23))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     picked = known.orderBy(order, "doc_id").limit(most_labelled)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sizes = sorted(((r[0], r[1], r[2]) for r in got.select(order, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0))).collect()))  # at most most_labelled rows
-    total, last = 0, None
-    for h, i, n in sizes:
-        total += n
-        if total > most_bytes:
-            break
-        last = (h, i)
-    if last is None:
-        return QualityModel(None, 0.0)
-    table = got.where((order < last[0]) | ((order == last[0]) & (F.col("doc_id") <= last[1]))).select(order.alias("h"), "doc_id", "text", "quality").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    sizes = got.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.first("quality").alias("quality")).select(order.alias("h"), "doc_id", "n", "quality").collect()  # at most most_labelled rows
+    total, chosen = 0, []
+    for _, i, n, _ in sorted(tuple(r) for r in sizes):
+        if total + n <= most_bytes:
+            total += n
+            chosen.append((i,))
+    if not chosen:
+        return QualityModel(None, float(np.mean([r.quality for r in sizes])) if sizes else 0.0)
+    ids = docs.sparkSession.createDataFrame(chosen, docs.select("doc_id").schema)
+    table = got.join(F.broadcast(ids), "doc_id").select(order.alias("h"), "doc_id", "text", "quality").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     return fit_mil([x or "" for x in table.column("text").to_pylist()], table.column("quality").to_numpy())
 
 
