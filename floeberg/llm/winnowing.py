@@ -6,7 +6,8 @@ GRAM tokens; of each WINDOW neighbouring grams the least is selected, the rightm
 several are least, and kept with its position.  So any run of GRAM + WINDOW - 1
 tokens that two texts share yields a common fingerprint, and no match shorter than
 GRAM tokens is reported.  All steps are array functions; the minimum over
-windows takes log2(WINDOW) passes.  Hashes are ordered by their upper 38 bits.
+windows takes log2(WINDOW) passes.  Hashes are ordered by their upper 33 bits,
+so that positions have as many bits as an array has places.
 
 Cases: null counts as empty; the empty text has the empty fingerprint and two
 empty ones have likeness 1; a text under GRAM tokens is one gram of all its tokens;
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize, maybe_broadcast
 
 GRAM, WINDOW = 5, 16
-_PLACES = 26
+_PLACES = 31
 _MASK = (1 << _PLACES) - 1
 #: Ids in one block of neighbours.
 NEIGHBOURS = 256
