@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lookup, lower_ascii, materialize, maybe_broadcast, mix64, slices, small_batches, text_bytes, with_locator, without_rows, word_hashes, words
+from .common import discard, lookup, lower_ascii, materialize, maybe_broadcast, mix64, slices, small_batches, text_bytes, with_locator, without_rows, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, R = 25, 5
@@ -157,7 +157,7 @@ def sign(docs: DataFrame) -> DataFrame:
     return materialize(out.withColumn("uid", F.monotonically_increasing_id()), "dart-signatures")
 
 
-def _propose(uid: np.ndarray, sketch: np.ndarray, comp: np.ndarray, first: int, last: int):
+def _propose(uid: np.ndarray, sketch: np.ndarray, comp: np.ndarray, first: int, last: int, hubs: int):
     """Pairs at places first..last of each text's likely partners, texts with more, and hubs."""
     m = len(uid)
     agree = np.empty((m, m), np.uint8)
@@ -182,7 +182,7 @@ def _propose(uid: np.ndarray, sketch: np.ndarray, comp: np.ndarray, first: int,
         if other[last:].any():
             left[near[last:][other[last:]]] = left[j] = True
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(a) if a else empty), (np.concatenate(b) if b else empty), uid[left], uid[order[:HUBS]]
+    return (np.concatenate(a) if a else empty), (np.concatenate(b) if b else empty), uid[left], uid[order[:hubs]]
 
 
 def _settle(uid, sketch, comp, elements) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +221,7 @@ def _in_blocks(members: DataFrame, first: int, last: int, settle: bool = False)
     pair, 1 a text with more likely pairs and its block, 2 a hub of a block.
 
     With ``settle``, members also have elements, and the pairs are all links."""
+    many = HUBS  # the driver's value, not a worker's
     ready = members.repartition("key", "blk").sortWithinPartitions("key", "blk", "uid")
 
     def flush(held):
@@ -238,9 +239,9 @@ def _in_blocks(members: DataFrame, first: int, last: int, settle: bool = False)
             if not several and blk[lo] < 0:
                 continue
             if several:
-                a, b, left, hubs = _propose(uid[lo:hi], sketch[lo:hi], comp[lo:hi], first, last)
+                a, b, left, hubs = _propose(uid[lo:hi], sketch[lo:hi], comp[lo:hi], first, last, many)
             else:
-                a, b, left, hubs = uid[:0], uid[:0], uid[:0], uid[lo : min(hi, lo + HUBS)]
+                a, b, left, hubs = uid[:0], uid[:0], uid[:0], uid[lo : min(hi, lo + many)]
             if blk[lo] < 0:
                 hubs = hubs[:0]
             for kind, x, y in ((0, a, b), (1, left, np.full(len(left), blk[lo])), (2, hubs, hubs)):
@@ -291,9 +292,12 @@ def components(links: DataFrame) -> DataFrame:
     while left.limit(1).count():
         ends = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = materialize(ends.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("to")), "dart-to")
+        before = labels, left
         moved = left.join(to, "a").select("b", F.col("to").alias("x")).join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         labels = materialize(labels.join(to.select(F.col("a").alias("comp"), "to"), "comp", "left").select("uid", F.coalesce("to", "comp").alias("comp")), "dart-labels")
         left = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dart-links")
+        discard(to, *before)
+    discard(left)
     return labels
 
 
@@ -354,6 +358,8 @@ def _across(members: DataFrame) -> DataFrame | None:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, n_texts and kept of every row (and _loc, if there)."""
+    if 4 * HUBS > BLOCK:
+        raise ValueError("at most a quarter of a block's texts can be its hubs")
     small_batches(docs.sparkSession)
     signed = sign(docs)
     rows = signed.count()

@@ -409,3 +409,44 @@ def test_best_fit_equals_the_plain_search():
         for i, _, b, _, _ in placed:
             assert clusters[i] not in seen.setdefault(b, set())
             seen[b].add(clusters[i])
+
+
+def _run_of(spark, rows, path):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_two_runs_share_one_state(spark, tmp_path):
+    state = str(tmp_path / "state")
+    key = lambda d: sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in d.collect())
+    first = _run_of(spark, [(1, "a b"), (2, "ab"), (3, "c"), (4, None)], str(tmp_path / "1"))
+    assert key(exact_dedup.exact_duplicates(first, state_path=state)) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 1, True)]
+    second = _run_of(spark, [(5, "ab"), (6, " c "), (7, "d"), (8, ""), (9, "\n")], str(tmp_path / "2"))
+    for _ in range(2):  # a named run counts once
+        got = exact_dedup.exact_duplicates(second, state_path=state, run="second")
+        # a copy of an earlier text, a longer original, a new text, and empty ones
+        assert key(got) == [(5, 1, 3, False), (6, 6, 2, True), (7, 7, 1, True), (8, 9, 3, False), (9, 9, 3, True)]
+    third = _run_of(spark, [(10, "c")], str(tmp_path / "3"))
+    assert key(exact_dedup.exact_duplicates(third, state_path=state)) == [(10, 6, 3, False)]
+
+
+def test_digests_that_collide_between_runs(spark, tmp_path):
+    state = str(tmp_path / "state")
+    weak = lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 0)  # noqa: E731  all digests are equal
+    texts = ["x y", "q", "xy", "q q", "qq", "z"]
+    for k in range(3):
+        rows = [(2 * k, texts[2 * k]), (2 * k + 1, texts[2 * k + 1])]
+        got = {r.doc_id: r for r in exact_dedup.exact_duplicates(_run_of(spark, rows, str(tmp_path / f"r{k}")), digest=weak, state_path=state).collect()}
+        assert set(got) == {2 * k, 2 * k + 1}
+        for i, t in rows:
+            group = [j for j in range(2 * k + 2) if texts[j].replace(" ", "") == t.replace(" ", "")]
+            best = min(group, key=lambda j: (-len(texts[j]), j))
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (best, len(group), best == i)
+
+
+def test_oversized_labelled_texts_are_skipped(spark):
+    docs = spark.createDataFrame([(i, ("w%d " % (i % 2)) * (9 if i % 5 else 9000)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = mil.train(docs, labels, most_bytes=5000)
+    assert model.params is not None
+    assert mil.train(docs, labels, most_bytes=1).share == pytest.approx(0.5)
