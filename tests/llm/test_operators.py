@@ -235,6 +235,59 @@ def test_mixing_holds_target_weights(spark):
     assert served["a"] > 190
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.37, "b": 0.33, "c": 0.2, "d": 0.0999, "e": 0.0001}, {"a": 1, "b": 2, "c": 1000}])
+def test_pfair_holds_any_target_for_a_million_slots(weights):
+    total = sum(Fraction(str(w)) for w in weights.values())
+    blocks = {s: int(Fraction(str(w)) / total * 1_000_000) + 7 for s, w in weights.items()}
+    first = pfair.phases(blocks, weights, pfair.EXACT)[0]
+    assert first["length"] * first["repeat"] > 980_000
+    served = Counter()
+    for k, (s, i, release, deadline) in enumerate(first["plan"]):
+        w = Fraction(str(weights[s])) / total
+        assert release == int(i / w) <= k < deadline == -int(-(i + 1) / w // 1) and i == served[s]
+        served[s] += 1
+        assert all(abs(served[x] - (k + 1) * Fraction(str(v)) / total) < 1 for x, v in weights.items())
+    # A period ends on the target, so all that follow are as near to it.
+    assert all(served[x] == first["length"] * Fraction(str(v)) / total for x, v in weights.items())
+
+
+def _plain_schedule(blocks, weights):
+    """Earliest deadline first, slot by slot, with windows from the exact weights."""
+    out, start, done = [], 0, Counter()
+    while left := {s for s in blocks if done[s] < blocks[s]}:
+        total = sum(weights[s] for s in left)
+        base, slot = Counter(done), 0
+        while all(done[s] < blocks[s] for s in left):
+            ready = []
+            for s in left:
+                i, w = done[s] - base[s], Fraction(weights[s], total)
+                if int(i / w) <= slot:
+                    ready.append((-int(-(i + 1) / w // 1), -weights[s], s))
+            s = min(ready)[2]
+            out.append(s)
+            done[s] += 1
+            slot += 1
+        start += slot
+    return out
+
+
+def test_mixing_equals_the_plain_schedule(spark):
+    weights, rows = {"a": 5, "b": 3, "c": 2}, {"a": 37, "b": 90, "c": 11}
+    docs = spark.createDataFrame([(f"{s}{i}", s) for s, n in rows.items() for i in range(n)], "doc_id string, source string")
+    got = pfair.pfair_mix(docs, weights, block=3).select("slot", "source").distinct().orderBy("slot").collect()
+    assert [r.source for r in got] == _plain_schedule({s: -(-n // 3) for s, n in rows.items()}, weights)
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(pfair, "MOST_SOURCES", 20)
+    monkeypatch.setattr(pfair, "GROUPS", 4)
+    docs = spark.createDataFrame([(i, f"s{i * i % 97}") for i in range(900)], "doc_id long, source string")
+    got = pfair.pfair_mix(docs, {"s1": 3, "s4": 1}, block=2, record=True).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter((i, f"s{i * i % 97}") for i in range(900))
+    slots = {r.slot for r in got}
+    assert slots == set(range(len(slots))) and len({(r.slot, r.place) for r in got}) == 900
+
+
 SECRET = 'password="hunter2222"'
 ENCODERS = [
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
