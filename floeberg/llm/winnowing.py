@@ -13,19 +13,21 @@ Cases: null counts as empty; the empty text has the empty fingerprint and two
 empty ones have likeness 1; a text under GRAM tokens is one gram of all its tokens;
 with fewer than WINDOW grams one is selected; equal texts have equal
 fingerprints; null ids come first in the order of ids; of rows with equal ids the
-next one follows by a hash of the text; an empty table gives no rows."""
+next one follows by a hash of the text; ids may have any type that has an order; an
+empty table gives no rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import materialize, maybe_broadcast
 
 GRAM, WINDOW = 5, 16
 _PLACES = 31
 _MASK = (1 << _PLACES) - 1
-#: Ids in one block of neighbours.
+#: Ids in one block of neighbours, and in one that is too full.
 NEIGHBOURS = 256
+CROWDED = 32 * NEIGHBOURS
 
 
 def _turn(x: Column, by: int) -> Column:
@@ -78,7 +80,7 @@ def _following(blocks: DataFrame) -> DataFrame:
     Blocks are ordered inside groups of NEIGHBOURS; only the groups' firsts are
     ordered in one task, a 65,536th of the ids."""
     inner = Window.partitionBy("_group").orderBy("block")
-    grouped = blocks.withColumn("_group", F.floor(F.col("block") / NEIGHBOURS))
+    grouped = blocks.withColumn("_group", F.shiftright("block", NEIGHBOURS.bit_length() - 1))
     inside = grouped.withColumn("_after", F.lead("first").over(inner))
     firsts = grouped.groupBy("_group").agg(F.min("first").alias("_first"))
     lead = F.lead("_first").over(Window.orderBy("_group"))
@@ -87,15 +89,46 @@ def _following(blocks: DataFrame) -> DataFrame:
     return inside.join(jumps, "_group").select("block", F.coalesce("_after", "_jump").alias("after"))
 
 
+def _dense(ids: DataFrame) -> DataFrame:
+    """(doc_id, _id): the rank of every distinct id.  Only ids are range-partitioned and written."""
+    spark = ids.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    at = F.monotonically_increasing_id()
+    ordered = ids.select("doc_id").distinct().repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    ordered = materialize(ordered.withColumns({"_part": F.shiftright(at, 33).cast("int"), "_in": at.bitwiseAND((1 << 33) - 1)}), "winnow-ids")
+    total, starts = 0, []
+    for part, n in sorted((r[0], r[1]) for r in ordered.groupBy("_part").count().collect()):  # one row per partition
+        starts.append((part, total))
+        total += n
+    firsts = spark.createDataFrame(starts, "_part int, _start long")
+    return ordered.join(F.broadcast(firsts), "_part").select(F.col("doc_id").alias("_own"), (F.col("_start") + F.col("_in")).alias("_id"))
+
+
+def _in_blocks(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ids with _id and block, in the order of ids, and the written blocks.
+
+    Whole numbers spread evenly fall into blocks by their upper bits.  Others, and
+    those that crowd in few blocks, are numbered first, which costs a join."""
+    if isinstance(ids.schema["doc_id"].dataType, T.IntegralType):
+        low, high, n = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
+        span = int(high) - int(low) + 1 if n else 1
+        bits = max(span * NEIGHBOURS // max(n, 1), NEIGHBOURS).bit_length() - 1
+        even = ids.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("block", F.shiftright("_id", min(bits, 63)))
+        blocks = materialize(even.groupBy("block").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")), "winnow-blocks")
+        if (blocks.agg(F.max("n")).first()[0] or 0) <= CROWDED:
+            return even, blocks
+    ranks = _dense(ids)
+    even = ids.join(maybe_broadcast(ranks, ranks.count()), F.col("doc_id").eqNullSafe(F.col("_own"))).drop("_own").withColumn("block", F.shiftright("_id", NEIGHBOURS.bit_length() - 1))
+    return even, materialize(even.groupBy("block").agg(F.min("_id").alias("first")), "winnow-blocks")
+
+
 def with_next(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
     """doc_id, text, its fingerprint, and text and fingerprint set of the next document.
 
-    One shuffle of the texts, into blocks of neighbouring ids.  The last row of a
-    block takes the first text of the next block, 1/NEIGHBOURS of the texts."""
-    lowest = -(1 << 63)
-    ids = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("_id"))
-    ids = ids.withColumn("block", F.shiftright("_id", NEIGHBOURS.bit_length() - 1))
-    blocks = materialize(ids.groupBy("block").agg(F.min("_id").alias("first")), "winnow-blocks")
+    One shuffle of the texts, into blocks of neighbouring ids (and one more where
+    ids must be numbered).  The last row of a block takes the first text of the
+    next block, 1/NEIGHBOURS of the texts."""
+    ids, blocks = _in_blocks(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     after = materialize(_following(blocks), "winnow-after")
     n = after.count()
     order = Window.partitionBy("block").orderBy("_id", F.xxhash64("text"))

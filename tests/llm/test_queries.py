@@ -119,3 +119,24 @@ def test_op10(spark, odd):
     for pieces in bins.values():
         pieces.sort()
         assert all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:])) and pieces[0][0] == 0 and sum(pieces[-1]) <= 2048
+
+
+@pytest.mark.parametrize("crowded", [8192, 0])
+@pytest.mark.parametrize("kind", ["dense", "sparse", "clustered", "string", "null"])
+def test_op7_next_of_any_ids(spark, tmp_path, monkeypatch, kind, crowded):
+    from floeberg.llm import winnowing
+
+    monkeypatch.setattr(winnowing, "CROWDED", crowded)
+    n = 700
+    ids = {
+        "dense": list(range(5, 5 + n)), "sparse": [(k * 0x9E3779B97F4A7C15 + 1) % (1 << 64) - (1 << 63) for k in range(n)], "null": [*range(n - 1), None],
+        "clustered": [k if k % 2 else (1 << 61) + k for k in range(n)], "string": [f"doc-{k * 37 % 1000:05d}" if k % 3 else f"x{k}" for k in range(n)],
+    }[kind]
+    texts = [f"alpha {k} beta {k * 3} gamma delta {k % 7} é" for k in range(n)]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.edited_sha256 for r in queries()["op7_winnowing"](spark, str(tmp_path)).collect()}
+    order = sorted(range(n), key=lambda k: (ids[k] is not None, ids[k] or type(ids[0])()))
+    assert len(got) == n
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        half = len(texts[a]) // 2
+        assert got[ids[a]] == hashlib.sha256((texts[a][: len(texts[a]) - half] + texts[b][:half]).encode()).hexdigest()
