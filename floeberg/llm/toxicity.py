@@ -4,11 +4,14 @@ A logistic model over hashed words and word beginnings is trained with numpy
 from confirmed toxic texts (positive) and all other texts (unlabelled, toxic
 ones among them).  The risk is R = pi*R_p+ + max(0, R_u- - pi*R_p-), where pi
 is the share of toxic texts; when the bracket is negative, a step undoes it.
+The confirmed texts are left out of the unlabelled ones, so these have a share of
+toxic texts that is lower by them, and that one stands in the bracket.
 
-The fit sees at most ``most_positive`` and ``most_unlabelled`` texts, chosen
-by a hash of the id; every text is scored whole.  Features are chosen by their
-likelihood ratio between the two samples, counted on the executors; the driver
-gets only the chosen ones.
+Features are chosen by their likelihood ratio between all positive texts and all
+texts, counted on the executors in one aggregation; the driver gets only the
+chosen ones.  The gradient steps see at most ``most_positive`` positive and
+``most_unlabelled`` unlabelled texts, chosen by a hash of the id; every text is
+scored whole.
 
 Cases: null counts as empty; empty texts get the model's bias; equal texts get
 equal scores; a doc_id labelled twice counts as toxic if any label says so;
@@ -20,14 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LETTERS, crc_mod, lower_ascii, merge_counts, mix64, slices, small_batches, text_bytes, word_hashes, words
+from .common import LETTERS, crc_mod, lower_ascii, maybe_broadcast, merge_counts, mix64, slices, small_batches, text_bytes, word_hashes, words
 
 BUCKETS = 1 << 22
 #: Lengths in bytes of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6, 7)
 MOST_POSITIVE, MOST_UNLABELLED, FEATURES = 8_000, 24_000, 4_096
 LEAST_RATIO, LEAST_LIFT = 8.0, 5.0
+#: Buckets that a task counts before it sends them on.
+MOST_HELD = 1 << 19
 THRESHOLD = 0.3
+#: Cost of a missed toxic text in false alarms.
+MISS = 2.0
 
 
 def _features(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,24 +54,28 @@ def _each(batch, name: str = "text"):
         yield lo, hi, *_features(lower_ascii(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo])
 
 
-def choose_sample(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int) -> tuple[DataFrame, float]:
-    """(doc_id, positive) of the rows to fit on, and the share of toxic labels."""
+def confirmed(labels: DataFrame) -> tuple[DataFrame, float]:
+    """The ids labelled toxic, and their share of the labelled ones."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
-    order = F.xxhash64("doc_id", F.lit(17))
-    yes = known.where("toxic = 1").select("doc_id").orderBy(order).limit(most_positive)
-    n = docs.count()
+    return known.where("toxic = 1").select("doc_id"), float(known.agg(F.avg("toxic")).first()[0] or 0.0)
+
+
+def choose_sample(marked: DataFrame, n: int, most_positive: int, most_unlabelled: int) -> DataFrame:
+    """(doc_id, fit) of the rows to fit on: 1 for confirmed ones, 0 for others."""
+    order = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
+    ids = marked.where("doc_id is not null")
+    yes = ids.where("positive = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(most_positive)
     share = min(1.0, 1.2 * (most_unlabelled + 100) / max(n, 1))
-    rest = docs.select("doc_id").where("doc_id is not null").where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).join(known.where("toxic = 1"), "doc_id", "left_anti").distinct()
-    no = rest.orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id").limit(most_unlabelled)
-    return yes.withColumn("positive", F.lit(1)).unionByName(no.withColumn("positive", F.lit(0))), float(prior)
+    no = ids.where("positive = 0").where(order < int(share * (1 << 30))).select("doc_id").distinct().orderBy(order, "doc_id").limit(most_unlabelled)
+    return yes.withColumn("fit", F.lit(1)).unionByName(no.withColumn("fit", F.lit(0)))
 
 
-def choose_features(sample: DataFrame, n_yes: int, n_no: int, most: int) -> np.ndarray:
-    """Buckets that positives have more often, by likelihood ratio."""
+def choose_features(marked: DataFrame, n_yes: int, n_all: int, most: int) -> np.ndarray:
+    """Buckets that positives have more often, by likelihood ratio over all rows of (text, positive)."""
 
     def run(batches):
-        seen, pending = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen, pending = none, []
         for batch in batches:
             sign = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, bucket, row in _each(batch):
@@ -72,13 +83,23 @@ def choose_features(sample: DataFrame, n_yes: int, n_no: int, most: int) -> np.n
                 pending.append(np.unique(own % BUCKETS * 2 + sign[own // BUCKETS + lo], return_counts=True))
                 if len(pending) == 32:
                     seen, pending = merge_counts(seen, pending), []
-        keys, n = merge_counts(seen, pending)
-        for lo in range(0, len(keys), 1 << 16):
-            k, c = keys[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(k // 2), pa.array(np.where(k % 2 == 1, c, 0)), pa.array(np.where(k % 2 == 0, c, 0))], ["bucket", "yes", "no"])
-
-    counts = sample.select("text", "positive").mapInArrow(run, "bucket long, yes long, no long").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    a, b = F.col("yes") / F.lit(float(n_yes)), (F.col("no") + 0.5) / F.lit(float(max(n_no, 1)))
+                    if len(seen[0]) > MOST_HELD:
+                        yield from told(*seen)
+                        seen = none
+        yield from told(*merge_counts(seen, pending))
+
+    def told(keys, n):
+        if not len(keys):
+            return
+        first = np.flatnonzero(np.r_[True, keys[1:] // 2 != keys[:-1] // 2])
+        total, yes = np.add.reduceat(n, first), np.add.reduceat(np.where(keys % 2 == 1, n, 0), first)
+        for lo in range(0, len(first), 1 << 16):
+            at = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array((keys[first[at]] // 2).astype(np.int32)), pa.array(yes[at].astype(np.int64)), pa.array(total[at].astype(np.int64))], ["bucket", "yes", "every"])
+
+    counts = marked.select("text", "positive").mapInArrow(run, "bucket int, yes long, every long").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("every").alias("every"))
+    no = F.col("every") - F.col("yes")
+    a, b = F.col("yes") / F.lit(float(n_yes)), (no + 0.5) / F.lit(float(max(n_all - n_yes, 1)))
     ratio = F.col("yes") * F.log(a / b) - F.lit(float(n_yes)) * (a - b)
     best = counts.where("yes >= 3").where(a > LEAST_LIFT * b).withColumn("ratio", ratio).where(F.col("ratio") > LEAST_RATIO)
     return np.array(sorted(r[0] for r in best.orderBy(F.desc("ratio"), "bucket").limit(most).select("bucket").collect()), np.int64)
@@ -108,8 +129,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior: float, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias from lists of the features present in each text."""
+def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior: float, apart: float = 0.0, miss: float = MISS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias from lists of the features present in each text.
+
+    ``prior`` is the share of positives in all texts, ``apart`` the share of all
+    texts that are confirmed positives and so not among ``no``; ``miss`` is the
+    cost of a missed positive against that of a false alarm."""
+    rest = 1 - apart
+    inside = min(max((prior - apart) / rest, 0.0), 1.0)  # the positives among ``no``
+    prior = apart + rest * inside
     rng = np.random.default_rng(seed)
     w, b = np.zeros(n_features), -2.0
     gw, gb = np.full(n_features, 1e-6), 1e-6
@@ -124,12 +152,12 @@ def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior
             col = np.concatenate(picked) if len(row) else np.zeros(0, np.int64)
             z = b + np.bincount(row, w[col], len(picked))
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            negative = np.logaddexp(0, z[n_yes:]).mean() - prior * np.logaddexp(0, z[:n_yes]).mean()
+            negative = np.logaddexp(0, z[n_yes:]).mean() - inside * np.logaddexp(0, z[:n_yes]).mean()
             g = np.empty(len(picked))
             if negative >= 0:  # the whole risk
-                g[:n_yes], g[n_yes:] = -prior / n_yes, s[n_yes:] / n_no
+                g[:n_yes], g[n_yes:] = (-miss * prior * (1 - s[:n_yes]) - rest * inside * s[:n_yes]) / n_yes, rest * s[n_yes:] / n_no
             else:  # climb back to where the bracket isn't negative
-                g[:n_yes], g[n_yes:] = prior * s[:n_yes] / n_yes, -s[n_yes:] / n_no
+                g[:n_yes], g[n_yes:] = rest * inside * s[:n_yes] / n_yes, -rest * s[n_yes:] / n_no
             step, step_b = np.bincount(col, g[row], n_features) + decay * w, g.sum()
             gw += step * step
             gb += step_b * step_b
@@ -141,14 +169,14 @@ def fit_nnpu(yes: list[np.ndarray], no: list[np.ndarray], n_features: int, prior
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_features: int = FEATURES, prior: float | None = None) -> ToxicityModel:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) to learn from."""
     small_batches(docs.sparkSession)
-    ids, share = choose_sample(docs, labels, most_positive, most_unlabelled)
-    ids = ids.cache()  # at most most_positive + most_unlabelled ids
-    size = dict(ids.groupBy("positive").count().collect())
-    if not size.get(1) or not size.get(0):
-        ids.unpersist()
+    known, share = confirmed(labels)
+    marked = docs.select("doc_id", "text").join(maybe_broadcast(known.withColumn("_yes", F.lit(1)), known.count()), "doc_id", "left").withColumn("positive", F.coalesce("_yes", F.lit(0))).drop("_yes")
+    n_all, n_yes = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("positive"), F.lit(0))).first()
+    if not n_yes:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, False)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").drop("doc_id")
-    buckets = choose_features(sample, size[1], size[0], most_features)
+    ids = choose_sample(marked, n_all, most_positive, most_unlabelled).cache()  # at most most_positive + most_unlabelled ids
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("fit", "positive")), "doc_id").drop("doc_id")
+    buckets = choose_features(marked, n_yes, n_all, most_features)
     empty = ToxicityModel(buckets, np.zeros(len(buckets)), 0.0)
 
     def run(batches):
@@ -165,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     rows = [values[cuts[i] : cuts[i + 1]] for i in range(len(sign))]
     order = sorted(range(len(rows)), key=lambda i: (rows[i].tolist(), sign[i]))  # the same fit however tasks are dealt
     ids.unpersist()
-    w, b = fit_nnpu([rows[i] for i in order if sign[i] == 1], [rows[i] for i in order if sign[i] == 0], len(buckets), share if prior is None else prior)
+    w, b = fit_nnpu([rows[i] for i in order if sign[i] == 1], [rows[i] for i in order if sign[i] == 0], len(buckets), share if prior is None else prior, n_yes / n_all)
     return ToxicityModel(buckets, w, b)
 
 
