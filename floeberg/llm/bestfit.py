@@ -7,14 +7,17 @@ duplicate clusters: the search moves on to the next larger room until a bin is
 found that has no piece of the same cluster and, better, none of the same
 source either; if every bin that fits has the source, the tightest one
 without the cluster is taken, and if none is free of the cluster, a new bin
-opens.  So no bin ever holds two pieces of one cluster.
+opens.  So no bin ever holds two pieces of one cluster.  With ``strict_sources``
+no bin holds two pieces of one source either: the source bitmap is a rule like the
+cluster's, at the price of more and emptier bins where sources are few.
 
 Windows of about WINDOW texts are packed independently, in parallel; a window
 is the unit of work whatever the corpus size.
 
 Cases: null text or source counts as empty, which is a value of its own; empty
 texts take one unit (their end); repeated rows share a cluster and so never a
-bin; very long texts span many bins; an empty table gives no rows."""
+bin; very long texts span many bins; ids may have any type; an empty table gives
+no rows."""
 
 from __future__ import annotations
 
@@ -36,7 +39,7 @@ def cluster_of(text: str = "text") -> Column:
     return F.xxhash64(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), " \t\n\x0b\x0c\r", ""))
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int, int, int, int]]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, strict_sources: bool = False) -> list[tuple[int, int, int, int, int]]:
     """(item, piece, bin, start in the bin, length), bins numbered from 0."""
     count: dict = {}
     for c in clusters:
@@ -52,7 +55,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     rest = []
     for i, n in enumerate(sizes):
         piece = 0
-        while n > capacity:
+        while n > capacity:  # a full bin of one piece
             out.append((i, piece, len(room), 0, capacity))
             room.append(0)
             s_map.append(0)
@@ -71,7 +74,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
             if not s_map[b] & s:
                 found = k
                 break
-            if spare < 0:
+            if spare < 0 and not strict_sources:
                 spare = k
         k = found if found >= 0 else spare
         if k >= 0:
@@ -90,7 +93,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, strict_sources: bool = False) -> DataFrame:
     """Pack items (window, doc_id, size, source, cluster) window by window.
 
     One row per piece: doc_id, piece, window, bin (in the window), start, length."""
@@ -99,7 +102,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["size", "doc_id", "cluster"], kind="stable").reset_index(drop=True)
-        placed = best_fit(part["size"].tolist(), part["source"].tolist(), part["cluster"].tolist(), capacity)
+        placed = best_fit(part["size"].tolist(), part["source"].tolist(), part["cluster"].tolist(), capacity, strict_sources)
         at = [p[0] for p in placed]
         out = pd.DataFrame({"doc_id": part["doc_id"].take(at).to_numpy(), "piece": [p[1] for p in placed], "window": part["window"].take(at).to_numpy(), "bin": [p[2] for p in placed], "start": [p[3] for p in placed], "length": [p[4] for p in placed]})
         return out[["doc_id", "piece", "window", "bin", "start", "length"]]
@@ -111,14 +114,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def by_hash(docs: DataFrame, rows: int, size: int = WINDOW) -> Column:
-    """Windows of about ``size`` rows whatever the ids and sources."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), F.lit(3)), F.lit(max(1, -(-rows // size)))).cast("string")
-
-
-def by_place(size: int = WINDOW) -> Column:
-    """Windows of neighbouring rows of a file: keeps the order of a mix."""
-    part = F.regexp_replace(F.col("_metadata.file_name"), r"^part-(\d+)-.*-(c\d+).*$", "$1-$2")
-    return F.concat(part, F.lit("#"), F.floor(F.col("_metadata.row_index") / size).cast("string"))
+    """Windows of about ``size`` rows whatever the ids and sources: by id and text,
+    so that rows that repeat an id spread too."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(max(1, -(-rows // size)))).cast("string")
+
+
+def place_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Written docs with their window: ``size`` neighbouring rows, counted on through
+    the files in the order of their names.  Keeps the order of a mix."""
+    marked = docs.withColumn("_name", F.col("_metadata.file_name")).withColumn("_row", F.col("_metadata.row_index"))
+    total, starts = 0, []
+    for name, n in sorted((r[0], r[1]) for r in marked.groupBy("_name").count().collect()):  # one row per file
+        starts.append((name, total))
+        total += n
+    firsts = docs.sparkSession.createDataFrame(starts, "_name string, _start long")
+    return marked.join(F.broadcast(firsts), "_name").withColumn("window", F.floor((F.col("_start") + F.col("_row")) / size).cast("string")).drop("_name", "_row", "_start")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -219,7 +219,18 @@ def with_locator(docs: DataFrame) -> DataFrame:
         return docs.withColumn("_loc", F.monotonically_increasing_id().cast("string"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it until no column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose _loc is in ``dropped``."""
+    """docs without the rows whose _loc is in ``dropped``; a column _loc of docs stays."""
     gone = dropped.select("_loc")
-    return with_locator(docs).join(maybe_broadcast(gone, gone.count()), "_loc", "left_anti").drop("_loc")
+    own = free_name("_loc", docs.columns)
+    held = docs.withColumnRenamed("_loc", own)
+    kept = with_locator(held).join(maybe_broadcast(gone, gone.count()), "_loc", "left_anti").drop("_loc")
+    return kept.withColumnRenamed(own, next((c for c in docs.columns if c.lower() == "_loc"), own)).select(*(f"`{c}`" for c in docs.columns))

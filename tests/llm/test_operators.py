@@ -503,3 +503,65 @@ def test_oversized_labelled_texts_are_skipped(spark):
     model = mil.train(docs, labels, most_bytes=5000)
     assert model.params is not None
     assert mil.train(docs, labels, most_bytes=1).share == pytest.approx(0.5)
+
+
+def test_strict_sources_never_meet():
+    rng = random.Random(8)
+    sizes = [rng.randint(1, 260) for _ in range(70)]
+    sources, clusters = [rng.choice("abcd") for _ in sizes], list(range(70))
+    seen = {}
+    for i, _, b, _, n in bestfit.best_fit(sizes, sources, clusters, 100, strict_sources=True):
+        if n < 100:
+            assert sources[i] not in seen.setdefault(b, set())
+            seen[b].add(sources[i])
+
+
+def test_nnpu_without_the_confirmed_ones():
+    rng = np.random.default_rng(5)
+    make = lambda toxic: np.unique(np.r_[rng.integers(2, 20, 6), [0] if toxic else []].astype(np.int64))
+    yes, no = [make(True) for _ in range(100)], [make(rng.random() < 1 / 9) for _ in range(900)]
+    w, b = toxicity.fit_nnpu(yes, no, 20, 0.2, apart=0.1)
+    score = lambda x: 1 / (1 + np.exp(-(b + w[x].sum())))
+    assert np.mean([score(make(True)) >= 0.3 for _ in range(200)]) > 0.95
+    assert np.mean([score(make(False)) >= 0.3 for _ in range(200)]) < 0.05
+
+
+def test_template_family_in_tiny_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dart, "BLOCK", 32)
+    monkeypatch.setattr(dart, "HUBS", 1)
+    rng = random.Random(12)
+    frame = [f"t{i}" for i in range(90)]
+    rows = []
+    for k in range(300):  # twins share 12 words of their own; the others share the frame only
+        own = [f"o{k}x{j}" for j in range(40)]
+        text = frame[:45] + own + frame[45:]
+        rows.append((2 * k, " ".join(text)))
+        if k % 2:
+            text[rng.randrange(46, 84)] = f"z{k}"
+            rows.append((2 * k + 1, " ".join(text)))
+    _same_classes(dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    monkeypatch.setattr(dart, "HUBS", 16)
+    with pytest.raises(ValueError):
+        dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_whole_order_of_shards(spark):
+    rng = random.Random(2)
+    rows = [(k, "x" * rng.randint(0, 50), rng.choice("abc"), rng.choice(["en", "de", None]), rng.randint(0, 9000)) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.hilbert_shards(docs, 7).collect()}
+
+    def number(x):
+        return int.from_bytes((x or "").encode().ljust(6, b"\0"), "big")
+
+    cells = []
+    for column, of in ((2, number), (3, number), (4, int)):
+        values = sorted(of(r[column]) for r in rows)
+        cuts = sorted({values[max(-(-len(values) * i // 64) - 1, 0)] for i in range(1, 64)})
+        cells.append([sum(of(r[column]) >= c for c in cuts) for r in rows])
+    curve = sharding.hilbert_numbers(np.array(cells).T, sharding.BITS)
+    order = sorted(rows, key=lambda r: (curve[r[0]], zlib.crc32(r[1].encode()), r[0]))
+    firsts = [-(-500 * s // 7) for s in range(7)]
+    for rank, r in enumerate(order):
+        shard = rank * 7 // 500
+        assert got[r[0]] == (shard, rank - firsts[shard])
