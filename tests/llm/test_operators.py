@@ -1,7 +1,9 @@
 """Methods against brute force on small inputs."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -292,6 +294,7 @@ SECRET = 'password="hunter2222"'
 ENCODERS = [
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
     lambda s: base64.b64encode(s.encode()).decode(), lambda s: s.encode().hex(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.urlsafe_b64encode(zlib.compress(s.encode())).decode(),
+    lambda s: base64.b64encode(bz2.compress(s.encode())).decode(), lambda s: lzma.compress(s.encode()).hex(), lambda s: base64.b64encode(zlib.compress(s.encode(), wbits=-15)).decode(),
 ]
 
 
@@ -330,6 +333,9 @@ def test_plain_text_has_no_layers_and_loops_end():
     assert find_secrets(text)[1]
     bomb = base64.b64encode(gzip.compress(b"z " * 2_000_000 + SECRET.encode())).decode()
     assert find_secrets(bomb, max_layer=1 << 20)[1] == [(0, 0, len(bomb.rstrip("=")))]
+    for pack in (bz2.compress, lzma.compress):
+        bomb = base64.b64encode(pack(b"z " * 2_000_000 + SECRET.encode())).decode()
+        assert (0, 0, len(bomb.rstrip("="))) in find_secrets(bomb, max_layer=1 << 20)[1]
 
 
 def test_nnpu_learns_from_unlabelled():
