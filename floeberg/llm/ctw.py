@@ -196,12 +196,22 @@ def _most_frequent(table: DataFrame, most: int, *more: str) -> tuple[np.ndarray,
     """The keys above the count that leaves at most ``most`` of them, sorted, with n or the columns ``more``.
 
     A shortcut only: what is left out is joined by a shuffle."""
-    per = sorted(((r[0], r[1]) for r in table.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True)  # distinct counts: at most about sqrt(2 x the corpus)
-    total, least = 0, 1 << 62
-    for c, k in per:
-        if total + k > most:
-            break
-        total, least = total + k, c
+    level = F.floor(F.log2("n") * 64)  # some thousand levels, then the counts inside one of them
+
+    def fits(per: DataFrame, room: int) -> tuple[int | None, int]:
+        """The first class from above that doesn't fit, and the room before it."""
+        for c, k in sorted(((r[0], r[1]) for r in per.collect()), reverse=True):
+            if k > room:
+                return c, room
+            room -= k
+        return None, room
+
+    least = 0
+    edge, room = fits(table.groupBy(level.alias("level")).agg(F.count(F.lit(1))), most)
+    if edge is not None:
+        inside = table.where(level == edge)
+        split, _ = fits(inside.groupBy("n").agg(F.count(F.lit(1))), room)
+        least = split + 1
     names = ["key", *(more or ["n"])]
     got = table.where(F.col("n") >= least).select(*names).toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
