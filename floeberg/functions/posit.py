@@ -3,19 +3,22 @@
 Comparison, fields and decoding are plain column expressions.  Encoding and
 arithmetic are exact: operands become integer significands times powers of
 two, one integer result is formed, and it is rounded once, to the nearest bit
-pattern, ties to even; nothing overflows to NaR or underflows to zero.  They run
-as Arrow functions over whole columns."""
+pattern, ties to even; nothing overflows to NaR or underflows to zero.  On columns
+they run as Arrow functions over whole numpy arrays (posit_arrays); the functions
+on single values go through exact fractions and are what these are tested with."""
 
 from __future__ import annotations
 
 from fractions import Fraction
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from . import posit_arrays as A
+
 #: Exponent bits of the standard widths.
 ES = {8: 0, 16: 1, 32: 2}
 
@@ -186,31 +189,201 @@ def quire_dot(xs, ys, width: int, es: int, start: Fraction = Fraction(0)) -> int
 
 # ------------------------------------------------------------------- whole columns
 
-_OPS = {"add": add, "subtract": subtract, "multiply": multiply, "divide": divide, "fused": fused, "sqrt": square_root, "round": round_to_integer, "to_integer": to_integer, "from_integer": from_integer, "from_double": from_double}
+_OPS = {
+    "add": A.add, "subtract": A.subtract, "multiply": A.multiply, "divide": A.divide, "fused": A.fused, "fused_subtract": A.fused_subtract, "sqrt": A.square_root,
+    "round": A.round_to_integer, "to_integer": A.to_integer, "from_integer": A.from_integer, "from_double": A.from_double, "to_double": A.to_double,
+}
+
+
+def _int64(a) -> np.ndarray:
+    return a.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+
 
+def _filled(out: np.ndarray, columns) -> pa.Array:
+    """out, null where any of the columns is."""
+    gone = np.zeros(len(out), bool)
+    for c in columns:
+        if c.null_count:
+            gone |= c.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(out, mask=gone)
 
-def column(op: str, width: int, es: int | None = None):
-    """A column function: posit bits in, bits (or integers) out, null for null."""
+
+def column(op: str, width: int | None = None, es: int | None = None, **options):
+    """A column function: posit bits in, bits (or integers, or doubles) out, null for null.
+
+    Without ``width`` the first argument is a column of widths (2 to 32, others
+    give NaR) and ``es`` must be given.  Options are those of posit_arrays, such as
+    bits, signed and truncate of to_integer, unsigned of from_integer."""
     es = ES[width] if es is None else es
 
-    @F.pandas_udf("long")
-    def run(*columns: pd.Series) -> pd.Series:
-        f = lru_cache(maxsize=1 << 16)(lambda *a: _OPS[op](*a, width, es))
-        values = [c.to_numpy(dtype=object) for c in columns]
-        out = [None if any(v is None or v != v for v in row) else f(*(v if op == "from_double" else int(v) for v in row)) for row in zip(*values, strict=True)]
-        return pd.Series(out, dtype="Int64")
+    @F.arrow_udf("double" if op == "to_double" else "long")
+    def run(*columns: pa.Array) -> pa.Array:
+        values = [c.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) if op == "from_double" and k == len(columns) - 1 else _int64(c) for k, c in enumerate(columns)]
+        size = values.pop(0) if width is None else width
+        return _filled(_OPS[op](*values, size, es, **options), columns)
 
     return run
 
 
-def convert_column(width: int, es: int, to_width: int, to_es: int):
-    @F.pandas_udf("long")
-    def run(a: pd.Series) -> pd.Series:
-        return a.map(lambda v: convert(int(v), width, es, to_width, to_es), na_action="ignore")
+def convert_column(width: int | None, es: int, to_width: int | None, to_es: int):
+    """Width changes; with None the widths are columns before the bits (from, then to)."""
+
+    @F.arrow_udf("long")
+    def run(*columns: pa.Array) -> pa.Array:
+        values = [_int64(c) for c in columns]
+        size = values.pop(0) if width is None else width
+        to = values.pop(0) if to_width is None else to_width
+        return _filled(A.convert(values[0], size, es, to, to_es), columns)
+
+    return run
+
+
+def unsigned(bits: Column) -> Column:
+    """The number in a long that holds an unsigned 64-bit one."""
+    return F.when(bits < 0, bits.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(bits.cast("decimal(20,0)")).cast("decimal(20,0)")
+
+
+def as_long(number: Column) -> Column:
+    """An unsigned 64-bit number (decimal) as the long with the same bits."""
+    return F.when(number >= F.lit("9223372036854775808").cast("decimal(20,0)"), number - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(number).cast("long")
+
+
+def from_decimal_column(width: int, es: int | None = None):
+    """Exact encoding of decimals or decimal strings of any length."""
+    es = ES[width] if es is None else es
+
+    @F.arrow_udf("long")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else from_decimal(str(t), width, es) for t in text.to_pylist()], pa.int64())
 
     return run
 
 
+def binary_text(bits: Column, width: int) -> Column:
+    """All bits as 0 and 1."""
+    return F.lpad(F.bin(bits), width, "0")
+
+
+def hex_text(bits: Column, width: int) -> Column:
+    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(bits)), -(-width // 4), "0"))
+
+
+def left_aligned(bits: Column, width: int) -> Column:
+    """A short posit's bits in the upper end of 32, as some libraries keep them."""
+    return F.shiftleft(bits.cast("long"), 32 - width)
+
+
+def successor(bits: Column, width: int) -> Column:
+    """The next larger posit's pattern (after the largest comes NaR)."""
+    return F.pmod(bits.cast("long") + 1, F.lit(1 << width))
+
+
+def predecessor(bits: Column, width: int) -> Column:
+    return F.pmod(bits.cast("long") - 1, F.lit(1 << width))
+
+
+class Posit:
+    """A column of posits with operators: + - * /, unary -, abs, comparisons, and
+    & | ^ ~ << >> on the bits.  Numbers on the right are encoded first."""
+
+    def __init__(self, bits: Column | str, width: int = 32, es: int | None = None):
+        self.bits = F.col(bits) if isinstance(bits, str) else bits
+        self.width, self.es = width, ES[width] if es is None else es
+
+    @classmethod
+    def of(cls, value: Column, width: int = 32, es: int | None = None) -> Posit:
+        es = ES[width] if es is None else es
+        return cls(column("from_double", width, es)(value.cast("double")), width, es)
+
+    def _new(self, bits: Column) -> Posit:
+        return Posit(bits, self.width, self.es)
+
+    def _other(self, other) -> Column:
+        return other.bits if isinstance(other, Posit) else F.lit(from_double(float(other), self.width, self.es)).cast("long")
+
+    def _op(self, name: str, *others) -> Posit:
+        return self._new(column(name, self.width, self.es)(self.bits, *(self._other(o) for o in others)))
+
+    def __add__(self, other):
+        return self._op("add", other)
+
+    def __sub__(self, other):
+        return self._op("subtract", other)
+
+    def __mul__(self, other):
+        return self._op("multiply", other)
+
+    def __truediv__(self, other):
+        return self._op("divide", other)
+
+    def __neg__(self):
+        return self._new(negate(self.bits, self.width))
+
+    def __abs__(self):
+        return self._new(absolute(self.bits, self.width))
+
+    def __lt__(self, other):
+        return less(self.bits, self._other(other), self.width)
+
+    def __le__(self, other):
+        return less_equal(self.bits, self._other(other), self.width)
+
+    def __gt__(self, other):
+        return less(self._other(other), self.bits, self.width)
+
+    def __ge__(self, other):
+        return less_equal(self._other(other), self.bits, self.width)
+
+    def __eq__(self, other):
+        return self.bits == self._other(other)
+
+    def __ne__(self, other):
+        return self.bits != self._other(other)
+
+    __hash__ = None
+
+    def __and__(self, other):
+        return self._new(self.bits.bitwiseAND(self._other(other)))
+
+    def __or__(self, other):
+        return self._new(self.bits.bitwiseOR(self._other(other)))
+
+    def __xor__(self, other):
+        return self._new(self.bits.bitwiseXOR(self._other(other)))
+
+    def __invert__(self):
+        return self._new(F.lit((1 << self.width) - 1) - self.bits)
+
+    def __lshift__(self, by: int):
+        return self._new(F.pmod(F.shiftleft(self.bits.cast("long"), by), F.lit(1 << self.width)))
+
+    def __rshift__(self, by: int):
+        return self._new(F.shiftright(self.bits.cast("long"), by))
+
+    def fused(self, by, plus) -> Posit:
+        """self * by + plus with one rounding."""
+        return self._op("fused", by, plus)
+
+    def sqrt(self) -> Posit:
+        return self._op("sqrt")
+
+    def sin(self) -> Posit:
+        return Posit.of(F.sin(self.value()), self.width, self.es)
+
+    def cos(self) -> Posit:
+        return Posit.of(F.cos(self.value()), self.width, self.es)
+
+    def next(self) -> Posit:
+        return self._new(successor(self.bits, self.width))
+
+    def previous(self) -> Posit:
+        return self._new(predecessor(self.bits, self.width))
+
+    def value(self) -> Column:
+        """The number as a double; NaN for NaR."""
+        return column("to_double", self.width, self.es)(self.bits)
+
+
 def quire(width: int, es: int | None = None):
     """Grouped aggregate: exact dot product of two bit columns."""
     es = ES[width] if es is None else es
@@ -298,6 +471,10 @@ def largest(width: int, es: int) -> float:
     return float(2 ** ((width - 2) << es))
 
 
+def smallest(width: int, es: int) -> float:
+    return 1 / largest(width, es)
+
+
 def advantage(value: Column, width: int = 32, es: int = 2) -> Column:
     """Fraction bits a posit of this value has beyond a float's: 8 - (1 + es + regime bits)."""
     k = F.floor(F.log2(F.abs(value)) / (1 << es))

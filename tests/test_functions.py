@@ -105,3 +105,84 @@ def test_clock_of_message_passing():
     assert one["finish"] == 20 and one["messages"] == 0
     four = cannon_clock([[1, 1], [1, 1]], [[1, 1], [1, 1]])
     assert four["messages"] == 8 and four["finish"] > 20
+
+
+#: Formats (width, exponent bits) whose whole columns are compared with exact fractions.
+FORMATS = [(8, 0), (16, 1), (32, 2), (2, 1), (5, 1), (13, 2), (24, 2), (31, 1)]
+
+
+@pytest.mark.parametrize("width,es", FORMATS)
+def test_arrays_equal_the_fractions(width, es):
+    rng = np.random.default_rng(width)
+    shift = rng.integers(0, width, 900)
+    a = (rng.integers(0, 1 << width, 900) >> shift) * rng.choice([1, -1], 900) % (1 << width)
+    b, c = rng.permutation(a), rng.permutation(a)
+    b[::3] = (-(a[::3] + rng.integers(-2, 3, 300))) % (1 << width)
+    a[:4], b[1:4] = [0, 1 << (width - 1), 1, (1 << (width - 1)) - 1], 0
+    for name, one in (("add", P.add), ("subtract", P.subtract), ("multiply", P.multiply), ("divide", P.divide)):
+        assert P._OPS[name](a, b, width, es).tolist() == [one(int(x), int(y), width, es) for x, y in zip(a, b, strict=True)]
+    c[::2] = (-P._OPS["multiply"](a, b, width, es)[::2]) % (1 << width)
+    assert P._OPS["fused"](a, b, c, width, es).tolist() == [P.fused(*map(int, v), width, es) for v in zip(a, b, c, strict=True)]
+    for name, one in (("sqrt", P.square_root), ("round", P.round_to_integer)):
+        assert P._OPS[name](a, width, es).tolist() == [one(int(x), width, es) for x in a]
+    for bits in (32, 64):
+        for signed in (True, False):
+            low, high = (-(1 << (bits - 1)), (1 << (bits - 1)) - 1) if signed else (0, (1 << bits) - 1)
+            for cut in (False, True):
+                want = [P.to_integer(int(x), width, es, cut, low, high) for x in a]
+                assert [v % (1 << 64) for v in P._OPS["to_integer"](a, width, es, bits, signed, cut).tolist()] == [v % (1 << 64) for v in want]
+    n = np.concatenate([[0, 1, -1, (1 << 63) - 1, -(1 << 63)], rng.integers(-(1 << 62), 1 << 62, 200) >> rng.integers(0, 62, 200)])
+    assert P._OPS["from_integer"](n, width, es).tolist() == [P.from_integer(int(x), width, es) for x in n]
+    assert P._OPS["from_integer"](n, width, es, True).tolist() == [P.from_integer(int(x) % (1 << 64), width, es) for x in n]
+    x = np.concatenate([[0.0, -0.0, np.nan, np.inf, 5e-324, 1e300], rng.normal(size=300) * 10.0 ** rng.integers(-40, 40, 300)])
+    assert P._OPS["from_double"](x, width, es).tolist() == [P.from_double(float(v), width, es) for v in x]
+    assert all(g == P.to_double(int(v), width, es) or P.to_double(int(v), width, es) != g != g for g, v in zip(P._OPS["to_double"](a, width, es), a, strict=True))
+
+
+def test_widths_that_differ_by_row(spark):
+    rows = [(w, (977 * w + 5) % (1 << w), (313 * w) % (1 << w)) for w in range(2, 33)] + [(1, 1, 1), (40, 3, 3), (None, 1, 1), (8, None, 1)]
+    df = spark.createDataFrame(rows, "w int, a long, b long")
+    got = df.select("w", "a", "b", P.column("add", None, 1)("w", "a", "b").alias("s"), P.convert_column(None, 1, None, 2)("w", F.lit(16), "a").alias("c")).collect()
+    for r in got:
+        if r.w is None or r.a is None:
+            assert r.s is None and r.c is None
+        else:
+            assert r.s == (P.add(r.a, r.b, r.w, 1)) and (not 2 <= r.w <= 32 or r.c == P.convert(r.a, r.w, 1, 16, 2))
+
+
+def test_quires_as_values(spark):
+    from floeberg.functions.quire import Quire, exact_dots, exact_sums
+
+    rng = np.random.default_rng(4)
+    for width in (8, 16, 32):
+        q = Quire(width)
+        rows = [(int(k % 3), int(a), int(b)) for k, (a, b) in enumerate(rng.integers(0, 1 << width, (60, 2))) if 1 << (width - 1) not in (a, b)]
+        df = spark.createDataFrame(rows, "k long, a long, b long")
+        sums = {r.k: (bytes(r.quire), r.p) for r in q.dot(df, ["k"], "a", "b").withColumn("p", q.to_posit(F.col("quire"))).collect()}
+        for k in range(3):
+            total = sum(P.decode_exact(a, width, q.es) * P.decode_exact(b, width, q.es) for j, a, b in rows if j == k)
+            assert q.from_bytes(sums[k][0]) * Fraction(2) ** q.low == total and sums[k][1] == P.encode_exact(total, width, q.es)
+        one = df.select("a", "b", q.subtract(q.add(q.zero(), F.col("a"), F.col("b")), F.col("b"), F.col("b")).alias("q"))
+        for r in one.select("a", "b", "q", q.to_posit(q.negate(F.col("q"))).alias("m"), q.to_posit(q.merge(F.col("q"), q.negate(F.col("q")))).alias("z")).collect():
+            x, y = (P.decode_exact(v, width, q.es) for v in (r.a, r.b))
+            assert r.m == P.encode_exact(y * y - x * y, width, q.es) and r.z == 0
+        odd = spark.createDataFrame([(1 << (width - 1), 1)], "a long, b long").select(q.to_posit(q.add(q.zero(), F.col("a"), F.col("b"))).alias("p"))
+        assert odd.first().p == P.nar(width)
+    values = [(0, 1e308), (0, 1.0), (0, -1e308), (1, 5e-324), (1, 2.0**-60), (1, 1.0), (1, -1.0), (2, float("inf")), (3, float("inf")), (3, float("-inf")), (4, 1e308), (4, 1e308), (5, float("nan")), (5, None)]
+    got = {r.k: r.s for r in exact_sums(spark.createDataFrame(values, "k long, x double"), ["k"], "x", "s").collect()}
+    assert got[0] == 1.0 and got[1] == 2.0**-60 and got[2] == got[4] == float("inf") and got[3] != got[3] and got[5] != got[5]
+    pairs = [(float(a), float(b)) for a, b in rng.normal(size=(200, 2)) * 10.0 ** rng.integers(-9, 9, (200, 2))]
+    exact = float(sum(Fraction(a) * Fraction(b) for a, b in pairs))
+    assert exact_dots(spark.createDataFrame([(0, *p) for p in pairs], "k long, a double, b double"), ["k"], "a", "b").first().dot == exact
+
+
+def test_posit_operators(spark):
+    x, y = P.Posit("a", 16), P.Posit("b", 16)
+    a, b = P.from_double(2.5, 16, 1), P.from_double(-0.75, 16, 1)
+    row = spark.createDataFrame([(a, b)], "a long, b long").select(
+        (x + y).value().alias("add"), (x - y).value().alias("sub"), (x * y).value().alias("mul"), (x / 2).value().alias("div"), (-x).value().alias("neg"), abs(y).value().alias("abs"),
+        (x < y).alias("lt"), (x >= y).alias("ge"), (x == x).alias("eq"), x.fused(y, 1).value().alias("fma"), x.next().bits.alias("next"), x.previous().bits.alias("prev"),
+        ((x << 1) >> 1).bits.alias("shift"), (~x).bits.alias("inv"), ((x & y) | (x ^ y)).bits.alias("bits"), P.Posit.of(F.lit(4.0), 16).sqrt().value().alias("root"), P.Posit.of(F.lit(0.0), 16).cos().value().alias("cos"),
+    ).first()
+    assert row[:10] == (1.75, 3.25, -1.875, 1.25, -2.5, 0.75, False, True, True, -0.875)
+    assert row[10:] == (a + 1, a - 1, (a << 1 & 0xFFFF) >> 1, 0xFFFF - a, a | b, 2.0, 1.0)
