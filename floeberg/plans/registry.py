@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import posit as P, signal as S
+from ..functions.quire import exact_sums as exact_sums_of
 from ..operators import graph as G, infomap as I, solve as V, sparse as M
 from ..plans.iterate import cut
 from ..streaming import queues as Q
@@ -450,12 +451,6 @@ def posit8_div_table(spark, sf):
     return _table8(spark, "divide")
 
 
-@query()
-def posit16_unary(spark, sf):
-    b = F.col("id")
-    return spark.range(1 << 16).select(b.alias("bits"), P.column("sqrt", 16)(b).alias("root"), P.column("round", 16)(b).alias("rounded"), P.column("to_integer", 16)(b).alias("whole"), P.convert_column(16, 1, 32, 2)(b).alias("wide"), P.convert_column(16, 1, 8, 0)(b).alias("narrow"))
-
-
 @query("""WITH a AS (SELECT DISTINCT l_extendedprice AS x, CAST(floor(log2(l_extendedprice)) AS INTEGER) AS s FROM lineitem),
  b AS (SELECT x, s, s // 4 AS k, s % 4 AS e, 27 - s // 4 AS nf FROM a), c AS (SELECT *, CAST(round_even((x / pow(2.0, s) - 1) * pow(2.0, nf), 0) AS BIGINT) AS f FROM b)
 SELECT x AS l_extendedprice, ((CAST(pow(2, k + 1) AS BIGINT) - 1) * 8 + e) * CAST(pow(2, nf) AS BIGINT) + f AS bits, (1 + f / pow(2.0, nf)) * pow(2.0, s) AS value FROM c""")
@@ -524,7 +519,7 @@ def half_round(spark, sf):
 
 @query("SELECT user_id % 20 AS k, round(fsum(value), 6) + 0.0 AS s FROM events GROUP BY 1")
 def exact_sums(spark, sf):
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("k")).agg(P.exact_sum()("value").alias("s")).select("k", r("s", 6).alias("s"))
+    return exact_sums_of(table(spark, sf, "events").select((F.col("user_id") % 20).alias("k"), "value"), ["k"], "value", "s").select("k", r("s", 6).alias("s"))
 
 
 @query("SELECT CAST(24 AS DOUBLE) AS det")
