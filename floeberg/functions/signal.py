@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quire import exact_sums
+
 
 def dft(signal: DataFrame, n: int, inverse: bool = False) -> DataFrame:
     """(k, re, im) of signal (t, x): the transform as a join with its kernel.
@@ -38,19 +40,23 @@ def fft(signals: DataFrame, inverse: bool = False) -> DataFrame:
     return signals.groupBy("g").applyInPandas(one, "g long, k long, re double, im double")
 
 
+def _small(kernel: DataFrame) -> DataFrame:
+    if kernel.limit(1_000_001).count() > 1_000_000:
+        raise ValueError("use convolve_fft for kernels of over a million entries")
+    return F.broadcast(kernel)
+
+
 def convolve(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
     """(k, v): circular convolution of a (k, v) and a short kernel b (k, v) of length n.
 
-    The kernel has n rows at most and is broadcast."""
-    if n > 1_000_000:
-        raise ValueError("use convolve_fft for kernels of over a million entries")
-    kernel = F.broadcast(b.select(F.col("k").alias("_k"), F.col("v").alias("_v")))
+    The kernel's size is checked before it is broadcast."""
+    kernel = _small(b.select(F.col("k").alias("_k"), F.col("v").alias("_v")))
     return a.crossJoin(kernel).groupBy(F.pmod(F.col("k") + F.col("_k"), F.lit(n)).alias("k")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
 
 
 def convolve_2d(a: DataFrame, b: DataFrame, rows: int, cols: int) -> DataFrame:
     """(i, j, v): 2-D circular convolution with a broadcast kernel (i, j, v)."""
-    kernel = F.broadcast(b.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("v").alias("_v")))
+    kernel = _small(b.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("v").alias("_v")))
     return a.crossJoin(kernel).groupBy(F.pmod(F.col("i") + F.col("_i"), F.lit(rows)).alias("i"), F.pmod(F.col("j") + F.col("_j"), F.lit(cols)).alias("j")).agg(F.sum(F.col("v") * F.col("_v")).alias("v"))
 
 
@@ -78,9 +84,14 @@ convolve_fft = _by_fft(lambda x, y: x * y)
 correlate_fft = _by_fft(lambda x, y: (p := x * np.conj(y)) / np.maximum(np.abs(p), 1e-300))
 
 
-def fft_2d(grids: DataFrame, rows: int, cols: int) -> DataFrame:
+def fft_2d(grids: DataFrame, rows: int, cols: int, inverse: bool = False) -> DataFrame:
+    """(g, i, j, re, im) of every group's grid (g, i, j, v and, if there, w for the imaginary part)."""
+
     def one(x: pd.DataFrame) -> pd.DataFrame:
-        out = np.fft.fft2(_grid(x, rows, cols))
+        grid = _grid(x, rows, cols).astype(complex)
+        if "w" in x:
+            grid[x.i, x.j] += 1j * x.w.to_numpy()
+        out = (np.fft.ifft2 if inverse else np.fft.fft2)(grid)
         i, j = np.indices((rows, cols))
         return pd.DataFrame({"g": x.g.iloc[0], "i": i.ravel(), "j": j.ravel(), "re": out.real.ravel(), "im": out.imag.ravel()})
 
@@ -127,12 +138,14 @@ def to_binary(n: Column, width: int) -> Column:
     return F.lpad(F.bin(n), width, "0")
 
 
-def arc_length(spark, n: int) -> DataFrame:
+def arc_length(spark, n: int, exact: bool = False) -> DataFrame:
     """Length of an irregular curve on [0, pi] from n chords.
 
-    The curve is x plus sines of doubling frequency and halving height."""
+    The curve is x plus sines of doubling frequency and halving height.  ``exact``:
+    the chords are summed exactly and rounded once, where a plain sum drifts."""
     h = math.pi / n
     curve = lambda x: x + sum((F.sin((1 << k) * x) / (1 << k) for k in range(1, 11)), F.lit(0.0))
     t = (F.col("id") + 1) * h
     rise = curve(t) - curve(t - h)
-    return spark.range(n).agg(F.sum(F.sqrt(F.lit(h * h) + rise**2)).alias("s"))
+    chords = spark.range(n).select(F.lit(0).alias("k"), F.sqrt(F.lit(h * h) + rise**2).alias("c"))
+    return exact_sums(chords, ["k"], "c", "s").select("s") if exact else chords.agg(F.sum("c").alias("s"))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.iterate import cut
+from ..plans.iterate import cut, discard
 
 ALPHA, BETA = 0.15, 0.85
 
@@ -61,7 +61,8 @@ def renumber(ids: DataFrame, column: str) -> DataFrame:
 
 
 def teleport_weights(nodes: DataFrame) -> DataFrame:
-    """tau = node_weight / total, by one scalar aggregate."""
+    """tau = node_weight / total, by one scalar aggregate; weights that aren't positive count as 1."""
+    nodes = nodes.withColumn("node_weight", F.when(F.col("node_weight") > 0, F.col("node_weight").cast("double")).otherwise(1.0))
     total = nodes.agg(F.sum("node_weight")).first()[0] or 1.0
     return nodes.withColumn("tau", F.col("node_weight") / F.lit(float(total)))
 
@@ -96,11 +97,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 200, least_it
     base = cut(nodes.select("id", "tau").join(mark, "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(False))))
     n = base.count()
     state = base.withColumn("p", F.lit(1.0 / max(n, 1)))
-    loose = 1.0 / max(n, 1) * base.where("dangling").count()
+    loose, written = 1.0 / max(n, 1) * base.where("dangling").count(), None
     for k in range(iterations):
         inflow = edges.join(state.select(F.col("id").alias("src"), "p"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("_in"))
         new = state.join(inflow, "id", "left").select("id", "tau", "dangling", F.col("p").alias("_old"), (F.lit(ALPHA + BETA * loose) * F.col("tau") + BETA * F.coalesce("_in", F.lit(0.0))).alias("p"))
-        new = cut(new)
+        before, new = written, cut(new)
+        discard(before)
+        written = new
         total, loose, change = new.agg(F.sum("p"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("p"))), F.lit(0.0)), F.sum(F.abs(F.col("p") - F.col("_old")))).first()
         total = total or 1.0
         loose = loose / total
@@ -192,6 +195,11 @@ def conductance_per_module(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return ends.groupBy("mod").agg((F.sum("x") / F.count(F.lit(1))).alias("c"))
 
 
+def conductance_sum(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """One row: the sum of the modules' conductances."""
+    return conductance_per_module(edges, partition).agg(F.sum("c").alias("c"))
+
+
 def block_split(df: DataFrame, order: str, parts: int) -> DataFrame:
     """df with ``part``: contiguous ranges of nearly equal size in ``order``."""
     ranks = renumber(df, order)

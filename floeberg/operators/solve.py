@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.iterate import cut
-from .sparse import inner_product, level_sets, spmv, triangle
+from ..functions.quire import exact_dots
+from ..plans.iterate import cut, discard, new_folder
+from .sparse import inner_product, level_sets, spmv, spmv_exact, triangle
 
 
 def residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,8 +33,9 @@ def jacobi(a: DataFrame, b: DataFrame, iterations: int = 200) -> DataFrame:
     base = cut(b.withColumnRenamed("x", "b").join(a.where("i = j").select("i", F.col("v").alias("d")), "i"))
     x = base.select("i", F.lit(0.0).alias("x"))
     for _ in range(iterations):
-        ax = spmv(a, x)
+        ax, before = spmv(a, x), x
         x = cut(x.join(base, "i").join(ax, "i", "left").select("i", (F.col("x") + (F.col("b") - F.coalesce("y", F.lit(0.0))) / F.col("d")).alias("x")))
+        discard(before)
     return x
 
 
@@ -73,40 +75,60 @@ def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True) -> DataFram
     if top is None:
         return b.limit(0)
     a = cut(triangle(a, lower))
-    off = cut(a.where("i <> j").join(levels, "i"))
+    spark, folder = a.sparkSession, new_folder(a.sparkSession)
+    # Entries lie in a folder for each level, and each level's solution is added to
+    # those before: a level reads its own entries only, and nothing is written twice.
+    off = a.where("i <> j").join(levels, "i")
+    off.write.partitionBy("level").parquet(f"{folder}/entries")
+    kept = spark.read.schema(off.select("i", "j", "v", "level").schema).parquet(f"{folder}/entries")
     base = cut(b.withColumnRenamed("x", "b").join(a.where("i = j").select("i", F.col("v").alias("d")), "i").join(levels, "i"))
-    x = None
+    found = base.select("i", F.lit(0.0).alias("x")).schema
     for k in range(top + 1):
         rows = base.where(F.col("level") == k)
-        if x is not None:
-            known = off.where(F.col("level") == k).join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+        if k:
+            x = spark.read.schema(found).parquet(f"{folder}/x")
+            known = kept.where(F.col("level") == k).join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
             rows = rows.join(known, "i", "left")
         else:
             rows = rows.withColumn("y", F.lit(0.0))
-        new = rows.select("i", ((F.col("b") - F.coalesce("y", F.lit(0.0))) / F.col("d")).alias("x"))
-        x = cut(new if x is None else x.unionByName(new))
-    return x
+        rows.select("i", ((F.col("b") - F.coalesce("y", F.lit(0.0))) / F.col("d")).alias("x")).write.mode("append").parquet(f"{folder}/x")
+    return spark.read.schema(found).parquet(f"{folder}/x")
+
+
+def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-5, most: int = 5000, refresh: int = 0, exact: bool = False, trace: list | None = None) -> DataFrame:
+    """(i, x) for symmetric positive definite A; ``refresh``: recompute b - A x every so many steps.
 
+    ``exact``: inner products and row sums are exact and rounded once.  ``trace``
+    takes (step, residual norm) of every step."""
+    times = spmv_exact if exact else spmv
+
+    def product(df: DataFrame, u: str, v: str) -> float:
+        if exact:
+            got = exact_dots(df.select(F.lit(0).alias("_k"), u, F.col(v).alias("_v")), ["_k"], u, "_v").select("dot").first()
+        else:
+            got = df.agg(F.sum(F.col(u) * F.col(v))).first()
+        return (got[0] if got else None) or 0.0
 
-def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-5, most: int = 5000, refresh: int = 0) -> DataFrame:
-    """(i, x) for symmetric positive definite A; ``refresh``: recompute b - A x every so many steps."""
     a = cut(a)
     state = cut(b.select("i", F.lit(0.0).alias("x"), F.col("x").alias("r"), F.col("x").alias("p"), F.col("x").alias("b")))
-    rr = state.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
+    rr, passed = product(state, "r", "r"), state
     for k in range(most):
+        if trace is not None:
+            trace.append((k, math.sqrt(rr)))
         if math.sqrt(rr) <= tolerance:
             break
-        ap = spmv(a, state.select("i", F.col("p").alias("x"))).withColumnRenamed("y", "ap")
+        ap = times(a, state.select("i", F.col("p").alias("x"))).withColumnRenamed("y", "ap")
         with_ap = cut(state.join(ap, "i", "left").fillna(0.0, ["ap"]))
-        pap = with_ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        pap = product(with_ap, "p", "ap")
         step = rr / pap
         state = with_ap.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p", "b")
         if refresh and (k + 1) % refresh == 0:
             fresh = residual(a, state.select("i", "x"), state.select("i", F.col("b").alias("x"))).withColumnRenamed("x", "r")
             state = state.drop("r").join(fresh, "i")
-        new = state.agg(F.sum(F.col("r") ** 2)).first()[0]
+        new = product(state, "r", "r")
         state = cut(state.withColumn("p", F.col("r") + (new / rr) * F.col("p")))
-        rr = new
+        discard(with_ap, passed)
+        rr, passed = new, state
     return state.select("i", "x")
 
 
@@ -178,6 +200,20 @@ def factor(systems: DataFrame, how: str = "lu") -> DataFrame:
     return systems.groupBy("g").applyInPandas(one, "g long, name string, i long, j long, v double")
 
 
+def positive_definite(systems: DataFrame) -> DataFrame:
+    """(g, spd): whether every group's matrix is symmetric with no negative pivot."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        a = _dense(part)
+        try:
+            good = bool((a == a.T).all() and (np.diag(lu(a)[1]) >= 0).all())
+        except ZeroDivisionError:
+            good = False
+        return pd.DataFrame({"g": [part.g.iloc[0]], "spd": [good]})
+
+    return systems.groupBy("g").applyInPandas(one, "g long, spd boolean")
+
+
 def solve(systems: DataFrame, rhs: DataFrame, how: str = "lu", low: str = "float64", high: str = "float64") -> DataFrame:
     """(g, i, x, steps) for every group's A (g, i, j, v) and b (g, i, x).
 

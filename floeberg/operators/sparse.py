@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.quire import exact_dots
 from ..plans.iterate import cut
 
 
@@ -143,6 +146,46 @@ def random_matrix(spark: SparkSession, n: int, most: int, part: str = "full", se
     return out.where("i >= j") if part == "lower" else out.where("i <= j") if part == "upper" else out
 
 
+def random_rows(spark: SparkSession, n: int, per_row: int, seed: int = 0) -> DataFrame:
+    """Exactly ``per_row`` entries in each row, in different columns, normally distributed.
+
+    The columns are an arithmetic progression with a random start and an odd step
+    modulo a power of two, those beyond n skipped: no draw has to be repeated."""
+    size = 1 << max((n - 1).bit_length(), 0)
+    start, step = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size)), F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(size)).bitwiseOR(F.lit(1))
+    walk = F.transform(F.sequence(F.lit(0), F.lit(2 * per_row + 62)), lambda k: F.pmod(F.col("start") + k * F.col("step"), F.lit(size)))
+    columns = F.slice(F.filter(F.array_distinct(walk), lambda j: j < n), 1, min(per_row, n))
+    full = F.slice(F.array_distinct(F.concat(columns, F.sequence(F.lit(0).cast("long"), F.lit(min(per_row, n) - 1).cast("long")))), 1, min(per_row, n))
+    rows = spark.range(n).withColumn("start", start).withColumn("step", step).select(F.col("id").alias("i"), F.explode(full).alias("j"))
+    u, v = uniform(F.col("i"), F.col("j"), seed=seed + 2), uniform(F.col("i"), F.col("j"), seed=seed + 3)
+    return rows.withColumn("v", F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * math.pi * v))
+
+
+def spmv_exact(mat: DataFrame, vec: DataFrame) -> DataFrame:
+    """y = A x with every row's products summed exactly and rounded once."""
+    both = mat.join(vec.select(F.col("i").alias("j"), "x"), "j").select("i", "v", "x")
+    return exact_dots(both, ["i"], "v", "x", "y")
+
+
+def without(a: DataFrame, row: int, column: int) -> DataFrame:
+    """The cofactor's sub-matrix: one row and one column left out, the rest renumbered."""
+    close = lambda c, at: (F.col(c) - (F.col(c) > at).cast("long")).alias(c)
+    return a.where((F.col("i") != row) & (F.col("j") != column)).select(close("i", row), close("j", column), "v")
+
+
+def dependency_profile(a: DataFrame, lower: bool = True) -> DataFrame:
+    """(i, back, forward): rows that i depends on, and rows that depend on i."""
+    deps = triangle(a, lower, strict=True).where("v <> 0").select("i", "j").distinct()
+    ends = deps.select("i", F.lit(1).alias("b"), F.lit(0).alias("f")).unionByName(deps.select(F.col("j").alias("i"), F.lit(0).alias("b"), F.lit(1).alias("f")))
+    own = a.select("i", F.lit(0).alias("b"), F.lit(0).alias("f")).distinct()
+    return ends.unionByName(own).groupBy("i").agg(F.sum("b").alias("back"), F.sum("f").alias("forward"))
+
+
+def parallelism(levels: DataFrame) -> DataFrame:
+    """One row: the number of levels and the size of the largest."""
+    return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("levels"), F.max("n").alias("widest"))
+
+
 def level_sets(a: DataFrame, lower: bool = True) -> DataFrame:
     """(i, level): 1 + the largest level among the rows that a row depends on.
 

@@ -2,14 +2,14 @@
 
 
 def queries() -> dict:
-    from . import formats  # noqa: F401  registers its queries
+    from . import formats, more  # noqa: F401  they register their queries
     from .registry import QUERIES
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import formats  # noqa: F401
+    from . import formats, more  # noqa: F401
     from .registry import SQL
 
     return dict(SQL)

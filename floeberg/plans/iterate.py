@@ -10,23 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="floeberg-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: a table written to the shared folder and read back.
 
     Unlike a checkpoint, which runs the plan once more to write it, this runs it
     once; like one, it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete cut tables that a loop has passed and nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_written", None)):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], iterations: int, done: Callable[[DataFrame, DataFrame, int], bool] | None = None) -> DataFrame:
@@ -36,5 +52,6 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], iter
         new = cut(step(state, k))
         if done is not None and done(state, new, k):
             return new
+        discard(state)
         state = new
     return state

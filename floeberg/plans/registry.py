@@ -165,9 +165,9 @@ def normalize_out_weights(spark, sf):
     return G.normalise(raw_edges(spark, sf)).select("src", "dst", r("w", 12).alias("w"))
 
 
-@query("SELECT c_custkey AS id, round(c_acctbal / (SELECT sum(c_acctbal) FROM customer WHERE c_acctbal > 0) * 1e6, 6) + 0.0 AS tau FROM customer WHERE c_acctbal > 0")
+@query("WITH c AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 1.0 END AS w FROM customer) SELECT id, round(w / (SELECT sum(w) FROM c) * 1e6, 6) + 0.0 AS tau FROM c")
 def teleport_weights(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("node_weight"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("node_weight"))
     return G.teleport_weights(c).select("id", r(F.col("tau") * 1e6, 6).alias("tau"))
 
 
@@ -593,7 +593,7 @@ def gray_code(spark, sf):
 
 @query()
 def huffman_lengths(spark, sf):
-    """Code lengths of ship days modulo 12; only the symbol counts reach the driver."""
+    """Codes of quantities modulo 12; only the symbol counts reach the driver."""
     li = table(spark, sf, "lineitem").groupBy((F.col("l_quantity").cast("int") % 12).cast("string").alias("sym")).agg(F.count(F.lit(1)).alias("n"))
     codes = S.huffman_codes({x[0]: x[1] for x in li.collect()})
     return spark.createDataFrame([(s, len(c), c) for s, c in codes.items()], "sym string, len int, code string")

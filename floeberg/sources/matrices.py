@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _OBJECTS, _FORMATS = ("matrix",), ("coordinate", "array")
 _FIELDS, _SYMMETRIES = ("real", "integer", "complex", "pattern"), ("general", "symmetric", "skew-symmetric", "hermitian")
@@ -44,22 +44,87 @@ def read_header(spark: SparkSession, path: str) -> tuple[dict[str, str], list[in
     return banner, [int(x) for x in size.split()]
 
 
-def read_matrix_market(spark: SparkSession, path: str, pattern_ok: bool = False, expand: bool = True) -> DataFrame:
-    """mat(i, j, v) of a coordinate file, 1-based; the mirrored half is added.
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of the data lines: the lines after the size line, in file order from 0.
 
-    Pattern matrices are rejected unless ``pattern_ok``; complex ones always."""
+    Byte order within a file is kept by counting lines per partition."""
+    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
+    lines = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.trim("value").alias("value"), "_at")
+    part = F.shiftright("_at", 33)
+    total, starts = 0, []
+    for p, n in sorted((x[0], x[1]) for x in lines.groupBy(part.alias("p")).count().collect()):  # one row per partition
+        starts.append((p, total))
+        total += n
+    table = spark.createDataFrame(starts or [(0, 0)], "_p long, _start long")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_at"))
+    return lines.withColumn("_p", part).withColumn("_n", rank).join(F.broadcast(table), "_p").select((F.col("_start") + F.col("_n") - 2).alias("line"), "value").where("line >= 0")
+
+
+def read_matrix_market(spark: SparkSession, path: str, pattern_ok: bool = False, expand: bool = True, kind: str = "double") -> DataFrame:
+    """mat(i, j, v) of a coordinate or array file, 1-based; the mirrored half is added.
+
+    ``kind``: double, float, or a decimal type or string, for values of more digits
+    than a double has.  Pattern matrices are rejected unless ``pattern_ok``; complex
+    ones always.  An array file lists columns; a symmetric one their lower parts."""
     banner, size = read_header(spark, path)
-    if banner["format"] != "coordinate" or banner["field"] == "complex" or (banner["field"] == "pattern" and not pattern_ok):
+    if banner["field"] == "complex" or (banner["field"] == "pattern" and not pattern_ok):
         raise ValueError(f"values can't be loaded from: {type_name(banner)}")
-    f = F.split(F.trim("value"), r"\s+")
-    head = " ".join(str(x) for x in size)
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "") & (F.regexp_replace(F.trim("value"), r"\s+", " ") != head))
-    v = F.lit(1.0) if banner["field"] == "pattern" else F.get(f, F.lit(2)).cast("double")
-    mat = lines.select(F.get(f, F.lit(0)).cast("long").alias("i"), F.get(f, F.lit(1)).cast("long").alias("j"), v.alias("v"))
+    if banner["format"] == "array":
+        mat = _read_array(spark, path, banner, size, kind)
+    else:
+        f = F.split(F.trim("value"), r"\s+")
+        lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+        # An entry can look like the size line: only its first appearance is left out.
+        head = " ".join(str(x) for x in size)
+        same = F.regexp_replace(F.trim("value"), r"\s+", " ") == head
+        again = lines.where(same).count() - 1
+        v = (F.lit(1.0) if banner["field"] == "pattern" else F.get(f, F.lit(2))).cast(kind)
+        entries = lines.where(~same)
+        if again > 0:
+            entries = entries.unionByName(spark.createDataFrame([(head,)] * again, "value string"))
+        mat = entries.select(F.get(f, F.lit(0)).cast("long").alias("i"), F.get(f, F.lit(1)).cast("long").alias("j"), v.alias("v"))
     if not expand or banner["symmetry"] == "general":
         return mat
-    sign = -1.0 if banner["symmetry"] == "skew-symmetric" else 1.0
-    return mat.unionByName(mat.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
+    mirrored = (-F.col("v") if banner["symmetry"] == "skew-symmetric" else F.col("v")).cast(kind)
+    return mat.unionByName(mat.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), mirrored.alias("v")))
+
+
+def _read_array(spark: SparkSession, path: str, banner: dict[str, str], size: list[int], kind: str) -> DataFrame:
+    """Entries by their place in the file: down the columns, or their lower parts."""
+    rows, cols = size[0], size[1]
+    at = _numbered(spark, path)
+    v = F.col("value").cast(kind).alias("v")
+    if banner["symmetry"] == "general":
+        return at.select((F.col("line") % rows + 1).alias("i"), (F.floor(F.col("line") / rows) + 1).alias("j"), v)
+    skip = 1 if banner["symmetry"] == "skew-symmetric" else 0
+    starts, total = [], 0
+    for j in range(cols):  # one number per column
+        starts.append((j + 1, total, total + rows - j - skip))
+        total += rows - j - skip
+    table = F.broadcast(spark.createDataFrame(starts, "j long, _from long, _to long"))
+    inside = (F.col("line") >= F.col("_from")) & (F.col("line") < F.col("_to"))
+    return at.join(table, inside).select((F.col("line") - F.col("_from") + F.col("j") + skip).alias("i"), "j", v)
+
+
+def directory_traffic(spark: SparkSession, folder: str, es: int = 2, width: int = 32) -> DataFrame:
+    """(bits, share): regime bits of all values of a folder's matrices, averaged over the files.
+
+    Symmetric entries count twice.  Only banners reach the driver, one per file."""
+    from ..functions.posit import regime_traffic
+
+    lines = spark.read.text(f"{folder}/*.mtx").select("value", F.col("_metadata.file_path").alias("file"))
+    banners = lines.where(F.col("value").startswith("%%MatrixMarket")).select("file", F.lower("value").alias("banner"))
+    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).join(F.broadcast(banners), "file")
+    f = F.split(F.trim("value"), r"\s+")
+    size_line = (F.size(f) == 3) & F.get(f, F.lit(2)).rlike("^[0-9]+$") & F.get(f, F.lit(0)).rlike("^[0-9]+$") & (F.get(f, F.lit(2)).cast("double") >= F.lit(1)) & F.col("banner").contains("coordinate")
+    first = data.where(size_line).groupBy("file").agg(F.max_by("value", F.get(f, F.lit(2)).cast("long")).alias("_head"))
+    data = data.join(F.broadcast(first), "file", "left").where(F.col("_head").isNull() | (F.col("value") != F.col("_head")))
+    v = F.element_at(f, -1).cast("double")
+    times = F.when(F.col("banner").contains("symmetric"), 2).otherwise(1)
+    per = data.where(~F.col("banner").contains("pattern") & ~F.col("banner").contains("complex")).select("file", regime_traffic(v, es, width).alias("bits"), times.alias("n")).where("bits is not null").groupBy("file", "bits").agg(F.sum("n").alias("n"))
+    total = per.groupBy("file").agg(F.sum("n").alias("t"))
+    files = total.count()
+    return per.join(F.broadcast(total), "file").groupBy("bits").agg((F.sum(F.col("n") / F.col("t")) / F.lit(float(max(files, 1)))).alias("share"))
 
 
 def write_matrix_market(mat: DataFrame, path: str, rows: int, cols: int) -> None:
