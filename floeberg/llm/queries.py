@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_token_alignment
 from .bestfit import op10_best_fit_packing
 from .ctw import op2_context_tree_weighting
 from .dartminhash import op3_dartminhash
@@ -15,7 +16,7 @@ from .winnowing import op7_winnowing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op4_pfair_mixing, op5_secret_scans, op6_toxicity, op7_winnowing, op8_exact_dedup, op9_quality_mil, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op4_pfair_mixing, op5_secret_scans, op6_toxicity, op7_winnowing, op8_exact_dedup, op9_quality_mil, op10_best_fit_packing, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
