@@ -7,6 +7,7 @@ from .bestfit import op10_best_fit_packing
 from .ctw import op2_context_tree_weighting
 from .dartminhash import op3_dartminhash
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .mil_quality import op9_quality_mil
 from .pfair import op4_pfair_mixing
 from .secret_scan import op5_secret_scans
@@ -16,8 +17,8 @@ from .winnowing import op7_winnowing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op4_pfair_mixing, op5_secret_scans, op6_toxicity, op7_winnowing, op8_exact_dedup, op9_quality_mil, op10_best_fit_packing, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_context_tree_weighting, op3_dartminhash, op4_pfair_mixing, op5_secret_scans, op6_toxicity, op7_winnowing, op8_exact_dedup, op9_quality_mil, op10_best_fit_packing, op12_hard_negatives, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL}
