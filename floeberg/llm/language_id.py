@@ -42,7 +42,7 @@ FAMILIES = {
     "semitic": ("am", "ar", "he", "mt"),
 }
 LONGEST, BUCKETS = 5, 1 << 17
-MOST_LABELLED = 4_000
+MOST_LABELLED = 2_000
 #: Bytes of text that one numpy step works on.
 STEP = 1 << 16
 #: Columns of machines that are worked out for every text at once; beyond them, those of its family only.
@@ -160,24 +160,24 @@ class Machine:
 
 
 def fit_machine(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = 10.0, epochs: int = 30, seed: int = 3) -> np.ndarray:
-    """Weights (bias last) of the machine that has y = +1 on its positive side; x: (features, values) of each text."""
+    """Weights (bias last) of the machine that has y = +1 on its positive side; x: (features, values) of each text, bias left out."""
     rng = np.random.default_rng(seed)
-    w, alpha = np.zeros(size + 1), np.zeros(len(x))
-    x = [(np.append(j, size), np.append(v, 1.0)) for j, v in x]
+    w, alpha, bias = np.zeros(size), np.zeros(len(x)), 0.0
     soft = 1 / (2 * cost)
-    norm = np.array([v @ v for _, v in x]) + soft
+    norm = np.array([float(v @ v) for _, v in x]) + 1 + soft
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(x)):
             j, v = x[i]
-            new = max(alpha[i] - (y[i] * (w[j] @ v) - 1 + soft * alpha[i]) / norm[i], 0.0)
+            new = max(alpha[i] - (y[i] * (w[j] @ v + bias) - 1 + soft * alpha[i]) / norm[i], 0.0)
             if step := new - alpha[i]:
                 w[j] += step * y[i] * v
+                bias += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step) * norm[i])
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 class LanguageModel:
@@ -195,14 +195,15 @@ class LanguageModel:
         for j, v in x:
             mean[j] += v / len(x)
         scale = 1 / np.sqrt(mean + 1e-6)
-        scaled = [(j, v * scale[j]) for j, v in x]
+        for k, (j, v) in enumerate(x):  # in place: the sample is held once
+            x[k] = j, (v * scale[j]).astype(v.dtype)
 
         def machine(groups: list[str], want: list[str]) -> Machine:
             at = {name: [i for i, g in enumerate(groups) if g == name] for name in want}
             columns = []
             for a, b in combinations(want, 2):
                 own = at[a] + at[b]
-                w = fit_machine([scaled[i] for i in own], np.array([1.0] * len(at[a]) + [-1.0] * len(at[b])), BUCKETS)
+                w = fit_machine([x[i] for i in own], np.array([1.0] * len(at[a]) + [-1.0] * len(at[b])), BUCKETS)
                 columns.append(np.concatenate([w[:-1] * scale, [0.0], w[-1:]]))
             return Machine(want, np.array(columns, np.float32))
 
@@ -281,7 +282,7 @@ def train(docs: DataFrame, most_labelled: int = MOST_LABELLED, families: dict |
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     got = choose_sample(known, most_labelled).mapInArrow(run, "lang string, buckets array<int>, shares array<float>").toArrow()
     langs = got.column("lang").to_pylist()
-    x = [(b.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64)) for b, v in zip(got.column("buckets"), got.column("shares"))]
+    x = [(b.values.to_numpy(), v.values.to_numpy()) for b, v in zip(got.column("buckets"), got.column("shares"))]
     use = sorted((i for i in range(len(x)) if len(x[i][0])), key=lambda i: (langs[i], x[i][0].tobytes(), x[i][1].tobytes()))  # the same fit however tasks are dealt
     return LanguageModel.fit([x[i] for i in use], [langs[i] for i in use], FAMILIES if families is None else families)
 
