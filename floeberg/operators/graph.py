@@ -8,9 +8,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from ..plans.iterate import cut, discard
+from ..plans.iterate import bucketed, cut, discard
 
 ALPHA, BETA = 0.15, 0.85
 
@@ -86,31 +86,91 @@ class Flow:
     flows: DataFrame
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 200, least_iterations: int = 50, tolerance: float = 1e-15) -> DataFrame:
+@dataclass
+class Linked:
+    """Edges laid out once for a loop over states of their vertices.
+
+    ``edges`` (src, part, dst, w) lie in buckets by their source, and a state in
+    as many by its id, so a step joins them where they lie and only the partial sums of
+    the targets are exchanged.  The edges of a hub, a source with over ``hub``
+    edges, are dealt over several parts, and so is the hub's row of the state."""
+
+    edges: DataFrame
+    parts: DataFrame | None  # (id, parts) of the hubs; None if there are none
+    buckets: int
+
+    @property
+    def keys(self) -> list[str]:
+        return ["id"] if self.parts is None else ["id", "part"]
+
+    def write(self, state: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """A state (id, ...), written so that it meets the edges without an exchange, and aggregates over it, taken while it is written."""
+        if self.parts is None:
+            laid = state.withColumn("part", F.lit(0))
+        else:
+            wide = state.join(F.broadcast(self.parts), "id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+            laid = wide.repartition(self.buckets, "id", "part")
+        seen = Observation()
+        once = laid.withColumn("_once", F.col("part") == 0).observe(seen, F.count(F.lit(1)).alias("_rows"), *(how.alias(name) for name, how in sums.items())).drop("_once")
+        return bucketed(once, self.keys, self.buckets), {name: seen.get.get(name) or 0 for name in sums}
+
+    def inflow(self, state: DataFrame, value: str) -> DataFrame:
+        """(id, _in): sum of w times the source's ``value`` over the edges into each vertex."""
+        on = state.select(F.col("id").alias("src"), "part", F.col(value).alias("_v"))
+        met = self.edges.join(on, ["src"] if self.parts is None else ["src", "part"])
+        return met.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("_v")).alias("_in"))
+
+
+def link(edges: DataFrame, buckets: int | None = None, hub: int | None = None) -> Linked:
+    """``edges`` laid out for a loop; ``hub``: a quarter of a bucket's share if not given."""
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    degrees = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
+    total = degrees.agg(F.sum("n")).first()[0] or 0
+    most = hub or max(100_000, total // (4 * buckets))
+    # With the default bound there are at most four times as many hubs as buckets.
+    hubs = degrees.where(F.col("n") > most).select(F.col("src").alias("id"), F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    if not hubs.limit(1).count():
+        laid = edges.select("src", F.lit(0).alias("part"), "dst", "w").repartition(buckets, "src")
+        return Linked(bucketed(laid, ["src"], buckets), None, buckets)
+    own = edges.join(F.broadcast(hubs.withColumnRenamed("id", "src")), "src", "left")
+    laid = own.select("src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), "dst", "w")
+    return Linked(bucketed(laid.repartition(buckets, "src", "part"), ["src", "part"], buckets), cut(hubs), buckets)
+
+
+def rank_step(linked: Linked, state: DataFrame, scale: float, loose: float) -> DataFrame:
+    """The next rates, before division by their sum; ``state``'s are to be multiplied by ``scale``."""
+    old = F.col("p") * F.lit(scale)
+    inflow = linked.inflow(state, "p")
+    new = F.lit(ALPHA + BETA * loose) * F.col("tau") + BETA * scale * F.coalesce("_in", F.lit(0.0))
+    return state.where("part = 0").join(inflow, "id", "left").select("id", "tau", "dangling", old.alias("_old"), new.alias("p"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 200, least_iterations: int = 50, tolerance: float = 1e-15, buckets: int | None = None, hub: int | None = None) -> DataFrame:
     """(id, p, tau, dangling): rates with teleport and dangling mass.
 
     p' = (alpha + beta * dangling mass) * tau + beta * sum of w * p, divided by its
     sum; ends when the L1 change is small after ``least_iterations``.  ``nodes``
-    has id and tau; ``edges`` are normalised."""
-    edges = cut(edges)
-    mark = dangling(nodes, edges).select("id", F.lit(True).alias("dangling"))
-    base = cut(nodes.select("id", "tau").join(mark, "id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(False))))
-    n = base.count()
-    state = base.withColumn("p", F.lit(1.0 / max(n, 1)))
-    loose, written = 1.0 / max(n, 1) * base.where("dangling").count(), None
+    has id and tau; ``edges`` are normalised.  Each step is one job: the edges stay
+    where they lie, and the sums are taken by the tasks that write the state."""
+    linked = link(edges, buckets, hub)
+    sources = linked.edges.select(F.col("src").alias("id"), F.lit(False).alias("_d")).distinct()
+    base = nodes.select("id", "tau").repartition(linked.buckets, "id").join(sources, "id", "left")
+    base = base.select("id", "tau", F.coalesce("_d", F.lit(True)).alias("dangling"), F.lit(1.0).alias("p"))
+    once = F.col("_once")
+    state, seen = linked.write(base, n=F.count_if(once), loose=F.count_if(once & F.col("dangling")))
+    scale = 1.0 / max(seen["n"], 1)
+    loose = seen["loose"] * scale
+    sums = {"total": F.sum(F.when(once, F.col("p"))), "loose": F.sum(F.when(once & F.col("dangling"), F.col("p"))), "change": F.sum(F.when(once, F.abs(F.col("p") - F.col("_old"))))}
     for k in range(iterations):
-        inflow = edges.join(state.select(F.col("id").alias("src"), "p"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("_in"))
-        new = state.join(inflow, "id", "left").select("id", "tau", "dangling", F.col("p").alias("_old"), (F.lit(ALPHA + BETA * loose) * F.col("tau") + BETA * F.coalesce("_in", F.lit(0.0))).alias("p"))
-        before, new = written, cut(new)
+        before = state
+        state, seen = linked.write(rank_step(linked, state, scale, loose), **sums)
         discard(before)
-        written = new
-        total, loose, change = new.agg(F.sum("p"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("p"))), F.lit(0.0)), F.sum(F.abs(F.col("p") - F.col("_old")))).first()
-        total = total or 1.0
-        loose = loose / total
-        state = new.select("id", "tau", "dangling", (F.col("p") / F.lit(total)).alias("p"))
-        if k + 1 >= least_iterations and (change or 0.0) <= tolerance:
+        scale = 1.0 / (seen["total"] or 1.0)
+        loose = seen["loose"] * scale
+        if k + 1 >= least_iterations and seen["change"] <= tolerance:
             break
-    return state.select("id", "p", "tau", "dangling")
+    return state.where("part = 0").select("id", (F.col("p") * F.lit(scale)).alias("p"), "tau", "dangling")
 
 
 def flow(ranked: DataFrame, edges: DataFrame) -> Flow:

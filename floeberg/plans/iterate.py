@@ -37,10 +37,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` written as a table in ``buckets`` buckets by ``keys``, sorted by them, and read back.
+
+    Joins and aggregates on the keys of tables with as many buckets need no
+    exchange.  Rows that are hashed by the keys already are written as they lie."""
+    spark = df.sparkSession
+    path, name = new_folder(spark), f"floeberg_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._written, out._table = path, name
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete cut tables that a loop has passed and nothing reads any more."""
     for df in tables:
         if df is not None and (path := getattr(df, "_written", None)):
+            if name := getattr(df, "_table", None):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
