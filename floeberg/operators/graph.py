@@ -125,17 +125,18 @@ def link(edges: DataFrame, buckets: int | None = None, hub: int | None = None) -
     """``edges`` laid out for a loop; ``hub``: a quarter of a bucket's share if not given."""
     spark = edges.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    degrees = cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")))
-    total = degrees.agg(F.sum("n")).first()[0] or 0
-    most = hub or max(100_000, total // (4 * buckets))
-    # With the default bound there are at most four times as many hubs as buckets.
-    hubs = degrees.where(F.col("n") > most).select(F.col("src").alias("id"), F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    if not hubs.limit(1).count():
+    edges = edges if hasattr(edges, "_written") else cut(edges)
+    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    total, top = degrees.agg(F.sum("n"), F.max("n")).first()
+    most = hub or max(100_000, (total or 0) // (4 * buckets))
+    if (top or 0) <= most:
         laid = edges.select("src", F.lit(0).alias("part"), "dst", "w").repartition(buckets, "src")
         return Linked(bucketed(laid, ["src"], buckets), None, buckets)
+    # With the default bound there are at most four times as many hubs as buckets.
+    hubs = cut(degrees.where(F.col("n") > most).select(F.col("src").alias("id"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
     own = edges.join(F.broadcast(hubs.withColumnRenamed("id", "src")), "src", "left")
     laid = own.select("src", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), "dst", "w")
-    return Linked(bucketed(laid.repartition(buckets, "src", "part"), ["src", "part"], buckets), cut(hubs), buckets)
+    return Linked(bucketed(laid.repartition(buckets, "src", "part"), ["src", "part"], buckets), hubs, buckets)
 
 
 def rank_step(linked: Linked, state: DataFrame, scale: float, loose: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graph as G
+from .iterate import cut
 
 SHIFT = 1_000_000
 PARTS = 10
@@ -35,7 +36,7 @@ def quantities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf: str, iterations: int, both: bool = True):
-    edges = G.normalise(G.proper_edges(two_way(spark, sf) if both else raw_edges(spark, sf)))
+    edges = cut(G.normalise(cut(G.proper_edges(two_way(spark, sf) if both else raw_edges(spark, sf)))))
     nodes = G.teleport_weights(G.vertices(edges).withColumn("node_weight", F.lit(1.0)))
     return G.pagerank(nodes, edges, iterations), edges
 
