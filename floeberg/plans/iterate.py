@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_seen(df: DataFrame, **sums) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates over it that are taken while it is written; an aggregate over no rows is 0."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("_rows"), *(how.alias(name) for name, how in sums.items())))
+    return out, {name: seen.get.get(name) or 0 for name in ("_rows", *sums)}
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """``df`` written as a table in ``buckets`` buckets by ``keys``, sorted by them, and read back.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import posit as P, signal as S
 from ..functions.quire import exact_sums as exact_sums_of
-from ..operators import graph as G, infomap as I, solve as V, sparse as M
+from ..operators import communities as C, graph as G, infomap as I, solve as V, sparse as M
 from ..plans.iterate import cut
 from ..streaming import queues as Q
 from .tables import EDGES, PARTS, TWO_WAY, by_tens, counts, flow, flow_sql, laplace_sql, quantities, rank_sql, ranked, raw_edges, table, two_way
@@ -224,15 +224,8 @@ def infomap_one_sweep(spark, sf):
 
 @query()
 def infomap_communities(spark, sf):
-    """Nations linked by orders: whole search, few nodes."""
-    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("src"))
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("dst"))
-    raw = li.select("l_orderkey", "l_suppkey").join(F.broadcast(s) if s.count() < 1_000_000 else s, "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, "o_custkey").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    edges = cut(G.normalise(G.proper_edges(raw)))
-    nodes = G.teleport_weights(G.vertices(edges).withColumn("node_weight", F.lit(1.0)))
-    fl = G.flow(G.pagerank(nodes, edges, 10), edges)
-    got = I.communities(fl, sweeps=2, max_levels=2)
+    """The whole search on the supplier-part graph: nodes, super-nodes, coarse and fine tuning, to a gain of under 0.001 bits a sweep."""
+    got = C.find_communities(flow(spark, sf), threshold=1e-3)
     return got.partition.select("id", "mod", r(F.lit(got.code_length), 9).alias("code_length"))
 
 
@@ -547,8 +540,10 @@ def block_pattern(spark, sf):
 @query()
 def sub_modules(spark, sf):
     """Coarse tuning: modules of the supplier-part graph searched on their own."""
-    fl = flow(spark, sf, 2)
-    return I.sub_modules(G.Flow(cut(fl.nodes), cut(fl.flows)), by_tens(fl.nodes), sweeps=1)
+    fl = flow(spark, sf)
+    part = cut(by_tens(fl.nodes))
+    found = C.sub_modules(cut(fl.nodes), fl.flows, part, most=10)
+    return part.join(found.partition().withColumnRenamed("mod", "sub"), "id")
 
 
 # ------------------------------------------------------------------ signals and codes

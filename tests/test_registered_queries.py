@@ -9,7 +9,7 @@ from floeberg import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SLOW = {"infomap_communities", "sub_modules"}  # covered by tests of their own
+SLOW = {"infomap_communities", "sub_modules"}  # covered by test_communities.py
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables aren't here")
 
