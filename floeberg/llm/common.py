@@ -219,6 +219,17 @@ def with_locator(docs: DataFrame) -> DataFrame:
         return docs.withColumn("_loc", F.monotonically_increasing_id().cast("string"))
 
 
+def from_files(docs: DataFrame) -> bool:
+    """Whether rows come straight from files, so that with_locator names them for good."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+        return True
+    except AnalysisException:
+        return False
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, or with underscores before it until no column has it."""
     used = {c.lower() for c in taken}

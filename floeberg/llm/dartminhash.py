@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, lookup, lower_ascii, materialize, maybe_broadcast, mix64, slices, small_batches, text_bytes, with_locator, without_rows, word_hashes, words
+from .common import discard, from_files, lookup, lower_ascii, materialize, maybe_broadcast, mix64, slices, small_batches, text_bytes, with_locator, without_rows, word_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, R = 25, 5
@@ -135,9 +135,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """A written row for each document: its id, word digests, bands and sketch."""
+    """A written row for each document: its id, locator, word digests, bands and sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    located = "_loc" in docs.columns
 
     def run(batches):
         for batch in batches:
@@ -150,10 +149,10 @@ def sign(docs: DataFrame) -> DataFrame:
                 cuts = pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32))
                 sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(K), m, [None, pa.py_buffer(np.ascontiguousarray((sig >> np.uint64(56)).astype(np.uint8)))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, m), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel())), sketch.cast(pa.binary()), *([batch.column("_loc").slice(lo, m)] if located else [])],
-                    ["doc_id", "d1", "d2", "bands", "sketch", *(["_loc"] if located else [])])
+                    [batch.column("doc_id").slice(lo, m), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel())), sketch.cast(pa.binary()), batch.column("_loc").slice(lo, m)],
+                    ["doc_id", "d1", "d2", "bands", "sketch", "_loc"])
 
-    out = docs.select("doc_id", "text", *(["_loc"] if located else [])).mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, bands array<long>, sketch binary" + ", _loc string" * located)
+    out = docs.select("doc_id", "text", "_loc").mapInArrow(run, f"doc_id {kind}, d1 long, d2 long, bands array<long>, sketch binary, _loc string")
     return materialize(out.withColumn("uid", F.monotonically_increasing_id()), "dart-signatures")
 
 
@@ -314,7 +313,7 @@ def _merge(comps: DataFrame | None, fresh: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
-    """(uid, elements) of the wanted texts; each is read from its own document."""
+    """(uid, elements) of the wanted texts; each is read from its own document, found by its locator."""
 
     def run(batches):
         for batch in batches:
@@ -327,9 +326,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
                 made = pa.ListArray.from_arrays(pa.array(cuts), pa.array(elements.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("uid").slice(lo, hi - lo), made], ["uid", "elements"]).filter(pa.array(ok))
 
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))
-    side = wanted.select(key.alias("_id"), "uid", F.col("d1").alias("w1"), F.col("d2").alias("w2"))
-    return docs.select(key.alias("_id"), "text").join(maybe_broadcast(side, rows), "_id").select("uid", "w1", "w2", "text").mapInArrow(run, "uid long, elements array<long>").dropDuplicates(["uid"])
+    side = wanted.select("_loc", "uid", F.col("d1").alias("w1"), F.col("d2").alias("w2"))
+    return docs.select("_loc", "text").join(maybe_broadcast(side, rows), "_loc").select("uid", "w1", "w2", "text").mapInArrow(run, "uid long, elements array<long>")
 
 
 def _across(members: DataFrame) -> DataFrame | None:
@@ -361,6 +359,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if 4 * HUBS > BLOCK:
         raise ValueError("at most a quarter of a block's texts can be its hubs")
     small_batches(docs.sparkSession)
+    loc = ["_loc"] if "_loc" in docs.columns else []
+    if from_files(docs):
+        docs = (docs if loc else with_locator(docs)).select("doc_id", "text", "_loc")
+    else:  # rows without a lasting name are written once
+        docs = materialize(docs.select("doc_id", "text", *loc), "dart-input")
+        docs = docs if loc else with_locator(docs)
     signed = sign(docs)
     rows = signed.count()
     groups = materialize(signed.groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("copies")).select("d1", "d2", "first.doc_id", "first.uid", "copies"), "dart-texts")
@@ -369,11 +373,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = materialize(bands.join(shared, "key"), "dart-buckets")
     likely = members.select("uid").distinct()
-    sketches = materialize(signed.select("uid", "doc_id", "d1", "d2", "sketch").join(likely, "uid", "left_semi"), "dart-sketches")
+    sketches = materialize(signed.select("uid", "_loc", "d1", "d2", "sketch").join(likely, "uid", "left_semi"), "dart-sketches")
     n_likely = sketches.count()
     comps, sets = None, None
     if n_likely:
-        sets = materialize(_sets(docs, sketches.select("doc_id", "uid", "d1", "d2"), n_likely), "dart-sets")
+        sets = materialize(_sets(docs, sketches.select("_loc", "uid", "d1", "d2"), n_likely), "dart-sets")
 
     def with_class(rows_: DataFrame) -> DataFrame:
         if comps is None:
@@ -428,7 +432,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = classes.select("comp", F.col("best.doc_id").alias("class_id"), F.col("best.uid").alias("best_uid"), "class_size", "n_texts")
     named = lookup(labels.select("comp", "d1", "d2", "copies"), classes.withColumn("size", F.col("n_texts")), "comp", "size", rows)
     named = named.select(F.struct("d1", "d2").alias("digest"), "copies", "class_id", "best_uid", "class_size", "n_texts")
-    loc = ["_loc"] if "_loc" in docs.columns else []
     out = lookup(signed.select("doc_id", "uid", *loc, F.struct("d1", "d2").alias("digest")), named, "digest", "copies", rows)
     return out.select("doc_id", "class_id", "class_size", "n_texts", (F.col("uid") == F.col("best_uid")).alias("kept"), *loc)
 
