@@ -134,4 +134,4 @@ def place_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = docs.select(by_hash(docs, docs.count()).alias("window"), "doc_id", token_estimate().alias("size"), "source", cluster_of().alias("cluster"))
-    return pack(items)
+    return pack(items, strict_sources=True)
