@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quire import exact_dots
 from ..plans.iterate import cut, discard, new_folder
+from .graph import Linked, link
 from .sparse import inner_product, level_sets, spmv, spmv_exact, triangle
 
 
@@ -27,16 +28,52 @@ def relative_residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     return r.agg((F.sqrt(F.sum(F.col("r") ** 2)) / F.sqrt(F.sum(F.col("x") ** 2))).alias("res"))
 
 
+def _by_column(a: DataFrame) -> Linked:
+    """A laid out for a loop: each column's entries where the row of that number lies."""
+    return link(a.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("w")))
+
+
+def _with_diagonal(a: DataFrame, b: DataFrame) -> DataFrame:
+    return b.select(F.col("i").alias("id"), F.col("x").alias("b")).join(a.where("i = j").select(F.col("i").alias("id"), F.col("v").alias("d")), "id")
+
+
 def jacobi(a: DataFrame, b: DataFrame, iterations: int = 200) -> DataFrame:
-    """x <- x + (b - A x) / d, all rows at once, from x = 0."""
+    """x <- x + (b - A x) / d, all rows at once, from x = 0.  The entries of A stay where they lie."""
     a = cut(a)
-    base = cut(b.withColumnRenamed("x", "b").join(a.where("i = j").select("i", F.col("v").alias("d")), "i"))
-    x = base.select("i", F.lit(0.0).alias("x"))
+    linked = _by_column(a)
+    state, _ = linked.write(_with_diagonal(a, b).repartition(linked.buckets, "id").withColumn("x", F.lit(0.0)))
     for _ in range(iterations):
-        ax, before = spmv(a, x), x
-        x = cut(x.join(base, "i").join(ax, "i", "left").select("i", (F.col("x") + (F.col("b") - F.coalesce("y", F.lit(0.0))) / F.col("d")).alias("x")))
+        ax, before = linked.inflow(state, "x"), state
+        new = state.where("part = 0").join(ax, "id", "left")
+        state, _ = linked.write(new.select("id", "b", "d", (F.col("x") + (F.col("b") - F.coalesce("_in", F.lit(0.0))) / F.col("d")).alias("x")))
         discard(before)
-    return x
+    return state.where("part = 0").select(F.col("id").alias("i"), "x")
+
+
+def relax(a: DataFrame, b: DataFrame, bound: float = 1e-12, most: int = 10_000, trace: list | None = None) -> DataFrame:
+    """(i, x) by residual-driven relaxation, from x = 0.
+
+    A row whose correction r / d is over ``bound`` takes it and sends it to the rows of
+    its column, which change their residuals; all others keep what they have, stale or not.
+    Ends when no row has anything to send (or after ``most`` rounds), at the fixed point
+    of Jacobi's iteration.  ``trace`` takes the number of rows that sent in each round."""
+    a = cut(a)
+    linked = _by_column(a)
+    send = F.abs(F.col("r") / F.col("d")) > bound
+    step = F.when(send, F.col("r") / F.col("d")).otherwise(0.0)
+    count = {"sending": F.count_if(F.col("_once") & send)}
+    state, seen = linked.write(_with_diagonal(a, b).repartition(linked.buckets, "id").select("id", "d", F.lit(0.0).alias("x"), F.col("b").alias("r")), **count)
+    for _ in range(most):
+        if trace is not None:
+            trace.append(seen["sending"])
+        if not seen["sending"]:
+            break
+        before = state
+        change = linked.inflow(state.where(send).withColumn("dx", F.col("r") / F.col("d")), "dx")
+        new = state.where("part = 0").join(change, "id", "left")
+        state, seen = linked.write(new.select("id", "d", (F.col("x") + step).alias("x"), (F.col("r") - F.coalesce("_in", F.lit(0.0))).alias("r")), **count)
+        discard(before)
+    return state.where("part = 0").select(F.col("id").alias("i"), "x")
 
 
 def block_gauss_seidel(a: DataFrame, b: DataFrame, block: int, iterations: int = 200) -> DataFrame:

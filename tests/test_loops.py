@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from floeberg.operators import graph as G
+from floeberg.operators import graph as G, solve as V
 from floeberg.plans.iterate import bucketed, discard
 
 
@@ -88,3 +88,52 @@ def test_rates_of_nothing(spark):
     assert G.pagerank(nodes.limit(0), edges.limit(0), 2).count() == 0
     got = G.pagerank(nodes.limit(2), edges.limit(0), 2).collect()
     assert sum(r.p for r in got) == pytest.approx(1) and all(r.dangling for r in got)
+
+
+def dominant(spark, n, seed):
+    import random
+
+    rng = random.Random(seed)
+    entries = [(i, j, -rng.random()) for i in range(n) for j in rng.sample(range(n), 4) if i != j]
+    entries += [(i, 0, -0.5) for i in range(1, n) if not any(e[:2] == (i, 0) for e in entries)]  # a column that all rows have
+    total = [sum(-v for i, _, v in entries if i == k) for k in range(n)]
+    a = spark.createDataFrame([*entries, *((i, i, 2 * total[i] + 1) for i in range(n))], "i long, j long, v double")
+    return a, spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 5 - 1.0).alias("x"))
+
+
+def solved(a, b, n):
+    import numpy as np
+
+    dense, right = np.zeros((n, n)), np.zeros(n)
+    for r in a.collect():
+        dense[r.i, r.j] = r.v
+    for r in b.collect():
+        right[r.i] = r.x
+    return dict(enumerate(np.linalg.solve(dense, right)))
+
+
+def test_relaxation_reaches_the_solution(spark):
+    a, b = dominant(spark, 60, 3)
+    assert {r.i: r.x for r in V.relax(a, b, 1e-9).collect()} == pytest.approx(solved(a, b, 60), abs=1e-7)
+
+
+def test_only_rows_with_a_residual_send(spark):
+    """A path with a load at one end: rows that the load hardly reaches never send, and those that are done stop."""
+    n, sent = 60, []
+    a = spark.createDataFrame([(i, j, 4.0 if i == j else -1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n], "i long, j long, v double")
+    b = spark.range(n).select(F.col("id").alias("i"), (F.col("id") == 0).cast("double").alias("x"))
+    got = V.relax(a, b, 1e-6, trace=sent)
+    assert {r.i: r.x for r in got.collect()} == pytest.approx(solved(a, b, n), abs=1e-5)
+    assert sent[0] == 1 and sent[-1] == 0 and sent[-2] < max(sent) < 15
+
+
+def test_jacobi_steps(spark):
+    import numpy as np
+
+    a, b = dominant(spark, 30, 4)
+    dense, right, x = np.zeros((30, 30)), np.array([k % 5 - 1.0 for k in range(30)]), np.zeros(30)
+    for r in a.collect():
+        dense[r.i, r.j] = r.v
+    for _ in range(4):
+        x = x + (right - dense @ x) / np.diag(dense)
+    assert {r.i: r.x for r in V.jacobi(a, b, 4).collect()} == pytest.approx(dict(enumerate(x)))
