@@ -40,6 +40,61 @@ def fft(signals: DataFrame, inverse: bool = False) -> DataFrame:
     return signals.groupBy("g").applyInPandas(one, "g long, k long, re double, im double")
 
 
+def near_root(n: int) -> int:
+    """The largest divisor of n up to its root."""
+    return next(k for k in range(math.isqrt(n), 0, -1) if n % k == 0)
+
+
+def _short_transforms(cells: DataFrame, size: int, inverse: bool, number, twiddle: int = 0) -> DataFrame:
+    """(g, at, re, im): every group's transform of ``size`` places, each result at the place that ``number`` gives; with
+    ``twiddle`` (the whole length) turned by group times place.  Places without a row are 0, rows at one place are added."""
+    sign = 1 if inverse else -1
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        g, x, k = int(part.g.iloc[0]), np.zeros(size, complex), np.arange(size)
+        np.add.at(x, part["at"].to_numpy(), part.re.to_numpy() + 1j * part.im.to_numpy())
+        y = np.fft.ifft(x) * size if inverse else np.fft.fft(x)
+        if twiddle:
+            y *= np.exp(sign * 2j * np.pi * (k * g % twiddle) / twiddle)
+        to, at = number(g, k)
+        return pd.DataFrame({"g": to, "at": at, "re": y.real, "im": y.imag})
+
+    return cells.groupBy("g").applyInPandas(one, "g long, at long, re double, im double")
+
+
+def fft_long(signal: DataFrame, n: int, inverse: bool = False, first: int | None = None) -> DataFrame:
+    """(k, re, im) of one long complex signal (t, re, im) of length n, in four steps: short transforms by column, a
+    turn of each result, a transposition by the shuffle, short transforms by row.
+
+    With ``first`` columns' places (the divisor of n next to its root if not given) no task holds more than
+    ``first`` or n / ``first`` places at once, so n should have a divisor near its root, as powers of two do."""
+    a = first or near_root(n)
+    b = n // a
+    if a * b != n:
+        raise ValueError("the first length must divide the whole")
+    cells = signal.select((F.col("t") % b).alias("g"), F.floor(F.col("t") / b).alias("at"), "re", "im")
+    turned = _short_transforms(cells, a, inverse, lambda g, k: (k, np.full(len(k), g)), n)
+    out = _short_transforms(turned, b, inverse, lambda g, k: (g + a * k, np.zeros(len(k), np.int64)))
+    scale = 1.0 / n if inverse else 1.0
+    return out.select(F.col("g").alias("k"), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
+def fft_image(image: DataFrame, rows: int, cols: int, inverse: bool = False) -> DataFrame:
+    """(i, j, re, im) of an image (i, j, re, im): transforms of all rows, then of all columns."""
+    by_row = _short_transforms(image.select(F.col("i").alias("g"), F.col("j").alias("at"), "re", "im"), cols, inverse, lambda g, k: (k, np.full(len(k), g)))
+    by_column = _short_transforms(by_row, rows, inverse, lambda g, k: (np.full(len(k), g), k))
+    scale = 1.0 / (rows * cols) if inverse else 1.0
+    return by_column.select(F.col("at").alias("i"), F.col("g").alias("j"), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
+def convolve_long(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
+    """(k, v): circular convolution of two signals (k, v) of length n, both as long as they like."""
+    x, y = (fft_long(s.select(F.col("k").alias("t"), F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im")), n) for s in (a, b))
+    y = y.select("k", F.col("re").alias("_re"), F.col("im").alias("_im"))
+    both = x.join(y, "k").select(F.col("k").alias("t"), (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (F.col("re") * F.col("_im") + F.col("im") * F.col("_re")).alias("im"))
+    return fft_long(both, n, inverse=True).select("k", F.col("re").alias("v"))
+
+
 def _small(kernel: DataFrame) -> DataFrame:
     if kernel.limit(1_000_001).count() > 1_000_000:
         raise ValueError("use convolve_fft for kernels of over a million entries")
