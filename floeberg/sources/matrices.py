@@ -109,16 +109,18 @@ def _read_array(spark: SparkSession, path: str, banner: dict[str, str], size: li
 def directory_traffic(spark: SparkSession, folder: str, es: int = 2, width: int = 32) -> DataFrame:
     """(bits, share): regime bits of all values of a folder's matrices, averaged over the files.
 
-    Symmetric entries count twice.  Only banners reach the driver, one per file."""
+    Symmetric entries count twice.  A file's size line is the first one after its comments."""
     from ..functions.posit import regime_traffic
 
-    lines = spark.read.text(f"{folder}/*.mtx").select("value", F.col("_metadata.file_path").alias("file"))
+    # A line's place in its file: where its block begins, and its number in the block's partition.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(f"{folder}/*.mtx").select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
     banners = lines.where(F.col("value").startswith("%%MatrixMarket")).select("file", F.lower("value").alias("banner"))
-    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).join(F.broadcast(banners), "file")
+    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    heads = data.groupBy("file").agg(F.min("place").alias("_head"))
+    # One row per file on the other side; Spark broadcasts it while it is small.
+    data = data.join(banners, "file").join(heads, "file").where(F.col("place") != F.col("_head"))
     f = F.split(F.trim("value"), r"\s+")
-    size_line = (F.size(f) == 3) & F.get(f, F.lit(2)).rlike("^[0-9]+$") & F.get(f, F.lit(0)).rlike("^[0-9]+$") & (F.get(f, F.lit(2)).cast("double") >= F.lit(1)) & F.col("banner").contains("coordinate")
-    first = data.where(size_line).groupBy("file").agg(F.max_by("value", F.get(f, F.lit(2)).cast("long")).alias("_head"))
-    data = data.join(F.broadcast(first), "file", "left").where(F.col("_head").isNull() | (F.col("value") != F.col("_head")))
     v = F.element_at(f, -1).cast("double")
     times = F.when(F.col("banner").contains("symmetric"), 2).otherwise(1)
     per = data.where(~F.col("banner").contains("pattern") & ~F.col("banner").contains("complex")).select("file", regime_traffic(v, es, width).alias("bits"), times.alias("n")).where("bits is not null").groupBy("file", "bits").agg(F.sum("n").alias("n"))

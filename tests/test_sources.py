@@ -65,3 +65,16 @@ def test_countdown_stream(spark, tmp_path):
     q = Q.countdown(stream).writeStream.format("memory").queryName("countdown").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("countdown").collect())) == [(1, 5.0), (2, 5.0)]
+
+
+def test_size_lines_are_told_by_their_place(spark, tmp_path):
+    """Integer values above the entry count, entries equal to the size line, and array files."""
+    head = "%%MatrixMarket matrix {} real general\n% a comment\n"
+    (tmp_path / "a.mtx").write_text(head.format("coordinate") + "3 3 3\n1 1 4096\n2 2 4096\n3 3 4096\n")
+    shares = {r.bits: r.share for r in X.directory_traffic(spark, str(tmp_path)).collect()}
+    assert list(shares.values()) == [1.0]
+    (tmp_path / "b.mtx").write_text(head.format("coordinate") + "3 3 3\n3 3 3\n1 1 3\n2 2 3\n")
+    (tmp_path / "c.mtx").write_text(head.format("array") + "1 2\n4096\n4096\n")
+    three = {r.bits: r.share for r in X.directory_traffic(spark, str(tmp_path)).collect()}
+    (high,) = shares
+    assert three[high] == pytest.approx(2 / 3) and sum(three.values()) == pytest.approx(1) and len(three) == 2
