@@ -31,10 +31,17 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def block_multiply(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """The same by square tiles, multiplied in numpy and shuffled once."""
+    """The same by square tiles of a given size."""
     from . import tiles as T
 
-    return T.to_entries(T.multiply(T.to_tiles(a, size), T.to_tiles(b, size), size), size)
+    return T.product(a, b, size)
+
+
+def block_gram(a: DataFrame, size: int) -> DataFrame:
+    """A A' by square tiles, made once for both sides."""
+    from . import tiles as T
+
+    return T.gram(a, size)
 
 
 def transpose(a: DataFrame) -> DataFrame:

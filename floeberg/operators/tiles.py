@@ -1,10 +1,11 @@
 """Matrices in square tiles, and their product with one shuffle of tiles.
 
-tiles(bi, bj, at, v): places inside the tile, row by row, and values as arrays, one
-record a tile.  For C = A B every tile of A goes to the result tiles of its block row whose
-inner block B has, and every tile of B likewise; the tiles of one result tile then
-lie sorted by inner block in one task, which multiplies them in numpy one pair after
-the other and holds one result tile."""
+tiles(bi, bj, at, v): places inside the tile in ascending order, row by row, and values
+as arrays, one record a tile.  The result of C = A B is made in squares of GROUP x GROUP
+tiles.  Every tile of A goes to the squares of its block row whose inner block B has, and
+every tile of B likewise; the tiles of one square then lie sorted by inner block in one
+task, which multiplies their entries in numpy, one inner block after the other in steps
+of bounded size, and holds one square."""
 
 from __future__ import annotations
 
@@ -12,17 +13,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .sparse import transpose
+from ..plans.iterate import cut
 
 TILE = 256
+#: Tiles on a side of the square of the result that is made at once.
+GROUP = 4
+#: Products of two entries in one numpy step.
+STEP = 1 << 20
+#: Keys of tiles that are broadcast at most; more are joined by a shuffle of the tiles.
+KEYS = 1 << 20
+_TILES = "bi long, bj long, at array<int>, v array<double>"
 
 
 def to_tiles(a: DataFrame, size: int = TILE) -> DataFrame:
-    """Entries (i, j, v) as tiles; entries that repeat stay apart, a product adds them."""
+    """Entries (i, j, v) as tiles; entries that repeat are added."""
     place = F.pmod("i", F.lit(size)) * size + F.pmod("j", F.lit(size))
     cells = a.select(F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj"), place.cast("int").alias("at"), F.col("v").cast("double").alias("v"))
-    # At most size x size places; both lists take the rows in the same order.
-    return cells.where("at is not null and v is not null").groupBy("bi", "bj").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))
+
+    def pack(batches):
+        # A tile's rows may go on in the next batch.
+        key, at, v = None, [], []
+
+        def told():
+            places, values = np.concatenate(at), np.concatenate(v)
+            first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([places[first]], pa.list_(pa.int32())), pa.array([np.add.reduceat(values, first)], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
+
+        for batch in batches:
+            bi, bj, place, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(bi):
+                continue
+            starts = np.flatnonzero(np.r_[True, (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])])
+            for lo, hi in zip(starts, [*starts[1:], len(bi)]):
+                if (now := (int(bi[lo]), int(bj[lo]))) != key:
+                    if key is not None:
+                        yield told()
+                    key, at, v = now, [], []
+                at.append(place[lo:hi])
+                v.append(value[lo:hi])
+        if key is not None:
+            yield told()
+
+    laid = cells.where("at is not null and v is not null").repartition("bi", "bj").sortWithinPartitions("bi", "bj", "at")
+    return laid.mapInArrow(pack, _TILES)
 
 
 def to_entries(tiles: DataFrame, size: int = TILE) -> DataFrame:
@@ -30,60 +63,102 @@ def to_entries(tiles: DataFrame, size: int = TILE) -> DataFrame:
     return cells.select((F.col("bi") * size + F.floor(F.col("at") / size)).alias("i"), (F.col("bj") * size + F.col("at") % size).alias("j"), "v")
 
 
+def transposed(tiles: DataFrame, size: int = TILE) -> DataFrame:
+    """The tiles of A' from those of A: nothing is shuffled."""
+    cells = F.array_sort(F.transform(F.arrays_zip("at", "v"), lambda e: F.struct((e["at"] % size * size + F.floor(e["at"] / size)).cast("int").alias("at"), e["v"].alias("v"))))
+    turned = tiles.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), cells.alias("_e"))
+    return turned.select("bi", "bj", F.col("_e.at").alias("at"), F.col("_e.v").alias("v"))
+
+
+def _keys(tiles: DataFrame, *columns: str) -> DataFrame:
+    """The tiles' places on the other side: short rows, so that the tiles need not be shuffled to meet them."""
+    keys = tiles.select(*columns).distinct()
+    return F.broadcast(keys) if keys.limit(KEYS + 1).count() <= KEYS else keys
+
+
 def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(bi, bj, bk, side, at, v): the tiles of A (side 0) and of B (1) for every result tile, dealt and sorted by it."""
-    left = a.select("bi", F.col("bj").alias("bk"), "at", "v")
-    right = b.select(F.col("bi").alias("bk"), "bj", "at", "v")
-    to_left = left.join(right.select("bk", "bj"), "bk").select("bi", "bj", "bk", F.lit(0).alias("side"), "at", "v")
-    to_right = right.join(left.select("bk", "bi"), "bk").select("bi", "bj", "bk", F.lit(1).alias("side"), "at", "v")
-    return to_left.unionByName(to_right).repartition("bi", "bj").sortWithinPartitions("bi", "bj", "bk", "side")
+    """(gi, gj, bk, side, block, at, v): the tiles of A (side 0) and of B (1) for every square of the result, dealt and sorted by it;
+    ``block`` is the tile's block row, on side 1 its block column."""
+    square = lambda c: F.floor(F.col(c) / GROUP)
+    left = a.select(square("bi").alias("gi"), F.col("bj").alias("bk"), F.col("bi").alias("block"), "at", "v")
+    right = b.select(square("bj").alias("gj"), F.col("bi").alias("bk"), F.col("bj").alias("block"), "at", "v")
+    columns = ("gi", "gj", "bk", "side", "block", "at", "v")
+    to_left = left.join(_keys(right, "bk", "gj"), "bk").withColumn("side", F.lit(0)).select(*columns)
+    to_right = right.join(_keys(left, "bk", "gi"), "bk").withColumn("side", F.lit(1)).select(*columns)
+    return to_left.unionByName(to_right).repartition("gi", "gj").sortWithinPartitions("gi", "gj", "bk", "side")
+
+
+def _add_products(total: np.ndarray, seen: np.ndarray, left: list, right: list) -> None:
+    """Adds the products of entries (row, inner, value) and (inner, column, value) that meet, STEP at a time."""
+    row, inner, v = (np.concatenate(c) for c in zip(*left))
+    own, column, w = (np.concatenate(c) for c in zip(*right))
+    order = np.argsort(own, kind="stable")
+    own, column, w = own[order], column[order], w[order]
+    start = np.searchsorted(own, inner)
+    n = np.searchsorted(own, inner, "right") - start
+    met = n > 0
+    row, v, start, n = row[met], v[met], start[met], n[met]
+    width, ends = total.shape[1], np.cumsum(n)
+    flat, found = total.reshape(-1), seen.reshape(-1)
+    lo = 0
+    while lo < len(n):
+        done = ends[lo] - n[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        which = np.repeat(np.arange(lo, hi), n[lo:hi])
+        at = np.arange(len(which)) + done - (ends - n)[which] + start[which]
+        cell = row[which] * width + column[at]
+        np.add.at(flat, cell, v[which] * w[at])
+        found[cell] = True
+        lo = hi
 
 
 def multiply(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
     """The tiles of A B; an entry of the result is kept where any product meets it, also if they sum to 0."""
+    side_of = size * GROUP
 
     def run(batches):
-        now, total, seen, held = None, None, None, None
+        now, total, seen, inner, left, right = None, None, None, None, [], []
 
         def told():
-            at = np.flatnonzero(seen)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([total.reshape(-1)[at]], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
+            for x in range(GROUP):
+                for y in range(GROUP):
+                    part = np.s_[x * size : (x + 1) * size, y * size : (y + 1) * size]
+                    at = np.flatnonzero(seen[part])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([now[0] * GROUP + x]), pa.array([now[1] * GROUP + y]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[part].reshape(-1)[at]], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
 
         for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in range(4)]
-            lists = [batch.column(k) for k in (4, 5)]
-            for row, (bi, bj, bk, side) in enumerate(zip(*keys)):
-                if (bi, bj) != now:
+            keys = [batch.column(k).to_pylist() for k in range(5)]
+            lists = [batch.column(k) for k in (5, 6)]
+            for k, (gi, gj, bk, side, block) in enumerate(zip(*keys)):
+                if (gi, gj) != now or bk != inner:
+                    if left and right:
+                        _add_products(total, seen, left, right)
+                    left, right, inner = [], [], bk
+                if (gi, gj) != now:
                     if now is not None:
-                        yield told()
-                    now, total, seen = (bi, bj), np.zeros((size, size)), np.zeros((size, size), bool)
-                at, v = (c[row].values.to_numpy() for c in lists)
-                i, j = at // size, at % size
+                        yield from told()
+                    now, total, seen = (gi, gj), np.zeros((side_of, side_of)), np.zeros((side_of, side_of), bool)
+                at, v = (c[k].values.to_numpy() for c in lists)
+                i, j, shift = at // size, at % size, block % GROUP * size
                 if side == 0:
-                    held = bk, i, j, v
-                elif held is not None and held[0] == bk:
-                    _, ai, aj, av = held
-                    # Only the rows, columns and inner places that the tiles have.
-                    rows, r = np.unique(ai, return_inverse=True)
-                    inner = np.intersect1d(aj, i)
-                    columns, c = np.unique(j, return_inverse=True)
-                    place = np.full(size, -1)
-                    place[inner] = np.arange(len(inner))
-                    left, right = np.zeros((len(rows), len(inner))), np.zeros((len(inner), len(columns)))
-                    x, y = place[aj] >= 0, place[i] >= 0
-                    np.add.at(left, (r[x], place[aj[x]]), av[x])
-                    np.add.at(right, (place[i[y]], c[y]), v[y])
-                    both = np.ix_(rows, columns)
-                    total[both] += left @ right
-                    met_left, met_right = np.zeros(left.shape, np.float32), np.zeros(right.shape, np.float32)
-                    met_left[r[x], place[aj[x]]], met_right[place[i[y]], c[y]] = 1, 1
-                    seen[both] |= met_left @ met_right > 0
+                    left.append((i + shift, j, v))
+                else:
+                    right.append((i, j + shift, v))
+        if left and right:
+            _add_products(total, seen, left, right)
         if now is not None:
-            yield told()
+            yield from told()
+
+    return meeting(a, b).mapInArrow(run, _TILES)
+
 
-    return meeting(a, b).mapInArrow(run, "bi long, bj long, at array<int>, v array<double>")
+def product(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
+    """Entries of A B; the tiles are written once and met from there."""
+    return to_entries(multiply(cut(to_tiles(a, size)), cut(to_tiles(b, size)), size), size)
 
 
 def gram(a: DataFrame, size: int = TILE) -> DataFrame:
     """Entries of A A'."""
-    return to_entries(multiply(to_tiles(a, size), to_tiles(transpose(a), size), size), size)
+    tiles = cut(to_tiles(a, size))
+    return to_entries(multiply(tiles, transposed(tiles, size), size), size)

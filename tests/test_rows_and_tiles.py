@@ -70,6 +70,23 @@ def test_tiled_product(spark, size):
     assert len(got) == len(want) and {(r.i, r.j): r.v for r in got} == pytest.approx(dict(want))
 
 
+def test_repeated_entries_are_one_place_of_a_tile(spark):
+    tiles = T.to_tiles(frame(spark, [(1, 2, 1.0)] * 1000 + [(0, 3, 2.0), (5, 5, 1.0)]), 4).collect()
+    assert sorted((r.bi, r.bj, list(r["at"]), list(r.v)) for r in tiles) == [(0, 0, [3, 6], [2.0, 1000.0]), (1, 1, [5], [1.0])]
+
+
+def test_a_square_of_tiles_gets_each_tile_once(spark):
+    """Eight by eight tiles: a tile goes to two squares, not to the eight tiles of its row."""
+    tiles = cut(T.to_tiles(frame(spark, [(i, j, 1.0) for i in range(0, 32, 2) for j in range(32)]), 4))
+    assert tiles.count() == 64 and T.meeting(tiles, T.transposed(tiles, 4)).count() == 2 * 64 * 2
+
+
+def test_values_that_are_not_finite_stay_with_their_own_products(spark):
+    inf = float("inf")
+    got = {(r.i, r.j): r.v for r in M.block_multiply(frame(spark, [(0, 0, inf), (1, 1, 2.0), (1, 0, 1.0)]), frame(spark, [(0, 0, 1.0), (1, 1, 3.0)]), 4).collect()}
+    assert got == {(0, 0): inf, (1, 0): 1.0, (1, 1): 6.0}
+
+
 def test_tiles_of_nothing(spark):
     none = spark.createDataFrame([], "i long, j long, v double")
     assert M.block_multiply(none, none, 8).count() == 0 and R.to_rows(none).count() == 0
