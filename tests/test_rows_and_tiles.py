@@ -87,6 +87,22 @@ def test_values_that_are_not_finite_stay_with_their_own_products(spark):
     assert got == {(0, 0): inf, (1, 0): 1.0, (1, 1): 6.0}
 
 
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_gram_in_steps(spark, monkeypatch, step):
+    monkeypatch.setattr(T, "STEP", step)
+    a = matrix(9, 40, 30, 6)
+    want = defaultdict(float)
+    for i, k, v in a:
+        for j, k2, w in a:
+            if k == k2:
+                want[i, j] += v * w
+    got = T.gram(frame(spark, a), 4).collect()
+    assert len(got) == len(want) and {(r.i, r.j): r.v for r in got} == pytest.approx(dict(want))
+    one, two = T._add_products, (np.zeros((2, 2)), np.zeros((2, 2), bool))
+    one(*two, [(np.array([0, 1, 1]), np.array([0, 0, 1]), np.ones(3))], [(np.array([1, 0, 0]), np.array([0, 0, 1]), np.array([5.0, 2.0, 3.0]))])
+    assert two[0].tolist() == [[2, 3], [7, 3]] and two[1].all()
+
+
 def test_tiles_of_nothing(spark):
     none = spark.createDataFrame([], "i long, j long, v double")
     assert M.block_multiply(none, none, 8).count() == 0 and R.to_rows(none).count() == 0
