@@ -26,8 +26,10 @@ def histogram(df: DataFrame, index: str, bins: DataFrame | None = None) -> DataF
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    right = b.select(F.col("i").alias("j"), F.col("j").alias("_k"), F.col("v").alias("_w"))
-    return a.join(right, "j").groupBy("i", F.col("_k").alias("j")).agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+    """A B.  The products that make an entry meet in one task: entries are exchanged, never products, of which there are many more."""
+    from . import tiles as T
+
+    return T.product(a, b)
 
 
 def block_multiply(a: DataFrame, b: DataFrame, size: int) -> DataFrame:

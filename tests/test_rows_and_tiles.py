@@ -135,3 +135,16 @@ def test_tiles_shuffle_fewer_bytes_than_entries(spark):
         dense[i, j] = v
     found[got.i, got.j] = got.v
     assert np.allclose(found, dense @ dense.T)
+
+
+def test_products_of_entries_are_not_shuffled(spark):
+    """40 rows that share 300 columns make 480,000 products; what is exchanged grows with the 12,000 entries."""
+    a = spark.createDataFrame([(i * 1000, j, 1.0 + (i * j) % 5) for i in range(40) for j in range(300)], "i long, j long, v double").repartition(8).cache()
+    a.count()
+    before = shuffled(spark)
+    got = M.multiply(a, M.transpose(a)).agg(F.count("v"), F.sum("v")).first()
+    used = shuffled(spark) - before
+    want = np.array([[1.0 + (i * j) % 5 for j in range(300)] for i in range(40)])
+    assert got[0] == 1600 and got[1] == (want @ want.T).sum() and used < 3_000_000
+    plan = M.multiply(a, M.transpose(a))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(gi" in plan and "sum(" not in plan
