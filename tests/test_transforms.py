@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floeberg.functions import signal as S
 
@@ -50,3 +51,14 @@ def test_long_kernels(spark):
     got = {r.k: r.v for r in S.convolve_long(df(a), df(b), 48).collect()}
     want = [sum(a[j] * b[(k - j) % 48] for j in range(48)) for k in range(48)]
     assert [got[k] for k in range(48)] == pytest.approx(want)
+
+
+def test_the_transform_of_a_short_kernel_is_not_broadcast(spark):
+    """A kernel of three rows has a transform as long as the signal."""
+    n = 64
+    signal = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 5 * 1.0).alias("v"))
+    kernel = spark.createDataFrame([(0, 3.0), (1, -1.0), (5, 2.0)], "k long, v double")
+    out = S.convolve_long(signal, kernel, n)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {k: 3.0 * (k % 5) - (k - 1) % n % 5 + 2.0 * ((k - 5) % n % 5) for k in range(n)}
+    assert {r.k: r.v for r in out.collect()} == pytest.approx(want)
