@@ -137,3 +137,41 @@ def test_jacobi_steps(spark):
     for _ in range(4):
         x = x + (right - dense @ x) / np.diag(dense)
     assert {r.i: r.x for r in V.jacobi(a, b, 4).collect()} == pytest.approx(dict(enumerate(x)))
+
+
+def test_steps_sort_no_edges(spark, no_broadcast):
+    """The state is hashed in each task; a sorted join would sort the edges in every step."""
+    nodes, edges = star(spark)
+    linked = G.link(edges, 4)
+    state, _ = linked.write(nodes.select("id", "tau", F.lit(False).alias("dangling"), F.lit(0.1).alias("p")).repartition(4, "id"))
+    plan = G.rank_step(linked, state, 1.0, 0.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def folders(spark):
+    import os
+
+    from floeberg.plans.iterate import shared_dir
+
+    return {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("step-")}
+
+
+def test_a_system_is_written_once(spark):
+    """Links, diagonal, entries where they lie, and the state."""
+    from floeberg.plans import solving
+
+    before = folders(spark)
+    a, b = solving.system(spark, SF)
+    got = V.jacobi(a, b, 0)
+    assert got.count() == b.count() > 0 and len(folders(spark) - before) == 4
+
+
+@pytest.mark.parametrize("hub", [None, 20])
+def test_weights_are_divided_while_edges_are_laid_out(spark, hub):
+    _, edges = star(spark)
+    raw = edges.withColumn("w", F.col("w") * (1 + F.col("src") % 3))
+    got = {(r.src, r.dst): r.w for r in G.link(raw, 4, hub, normal=True).edges.collect()}
+    assert got == pytest.approx({(r.src, r.dst): r.w for r in G.normalise(raw).collect()})
