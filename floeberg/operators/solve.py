@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quire import exact_dots
 from ..plans.iterate import cut, discard, new_folder
-from .graph import Linked, link
+from .graph import Linked, few, link
 from .sparse import inner_product, level_sets, spmv, spmv_exact, triangle
 
 
@@ -30,7 +30,10 @@ def relative_residual(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
 
 def _by_column(a: DataFrame) -> Linked:
     """A laid out for a loop: each column's entries where the row of that number lies."""
-    return link(a.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("w")))
+    edges = a.select(F.col("j").alias("src"), F.col("i").alias("dst"), F.col("v").alias("w"))
+    if hasattr(a, "_written"):
+        edges._written = a._written
+    return link(edges)
 
 
 def _with_diagonal(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -39,12 +42,12 @@ def _with_diagonal(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def jacobi(a: DataFrame, b: DataFrame, iterations: int = 200) -> DataFrame:
     """x <- x + (b - A x) / d, all rows at once, from x = 0.  The entries of A stay where they lie."""
-    a = cut(a)
+    a = a if hasattr(a, "_written") else cut(a)
     linked = _by_column(a)
     state, _ = linked.write(_with_diagonal(a, b).repartition(linked.buckets, "id").withColumn("x", F.lit(0.0)))
     for _ in range(iterations):
         ax, before = linked.inflow(state, "x"), state
-        new = state.where("part = 0").join(ax, "id", "left")
+        new = state.where("part = 0").join(few(ax), "id", "left")
         state, _ = linked.write(new.select("id", "b", "d", (F.col("x") + (F.col("b") - F.coalesce("_in", F.lit(0.0))) / F.col("d")).alias("x")))
         discard(before)
     return state.where("part = 0").select(F.col("id").alias("i"), "x")
@@ -57,7 +60,7 @@ def relax(a: DataFrame, b: DataFrame, bound: float = 1e-12, most: int = 10_000,
     its column, which change their residuals; all others keep what they have, stale or not.
     Ends when no row has anything to send (or after ``most`` rounds), at the fixed point
     of Jacobi's iteration.  ``trace`` takes the number of rows that sent in each round."""
-    a = cut(a)
+    a = a if hasattr(a, "_written") else cut(a)
     linked = _by_column(a)
     send = F.abs(F.col("r") / F.col("d")) > bound
     step = F.when(send, F.col("r") / F.col("d")).otherwise(0.0)
@@ -70,7 +73,7 @@ def relax(a: DataFrame, b: DataFrame, bound: float = 1e-12, most: int = 10_000,
             break
         before = state
         change = linked.inflow(state.where(send).withColumn("dx", F.col("r") / F.col("d")), "dx")
-        new = state.where("part = 0").join(change, "id", "left")
+        new = state.where("part = 0").join(few(change), "id", "left")
         state, seen = linked.write(new.select("id", "d", (F.col("x") + step).alias("x"), (F.col("r") - F.coalesce("_in", F.lit(0.0))).alias("r")), **count)
         discard(before)
     return state.where("part = 0").select(F.col("id").alias("i"), "x")
