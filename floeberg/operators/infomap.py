@@ -12,13 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.iterate import cut
-from .graph import ALPHA, BETA, Flow, code_length, contract, modules, node_entropy, plogp
+from .graph import ALPHA, BETA, Flow, code_length, contract, few, modules, node_entropy, plogp
 
 
 def node_exits(fl: Flow) -> DataFrame:
     """(id, q): exit rate of each node as a module of its own."""
-    single = fl.nodes.select("id", F.col("id").alias("mod"))
-    return modules(fl, single).select(F.col("mod").alias("id"), F.col("exit").alias("q"))
+    out = fl.flows.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.sum("f").alias("_out"))
+    return fl.nodes.join(out, "id", "left").select("id", (ALPHA * (1 - F.col("tau")) * F.col("p") + BETA * (F.coalesce("_out", F.lit(0.0)) + (1 - F.col("tau")) * F.col("d"))).alias("q"))
 
 
 def move_gains(fl: Flow, partition: DataFrame, active: DataFrame | None = None, empty_target: bool = False) -> DataFrame:
@@ -30,8 +30,8 @@ def move_gains(fl: Flow, partition: DataFrame, active: DataFrame | None = None,
     part = partition
     m = cut(modules(fl, part))
     total = m.agg(F.sum("exit")).first()[0] or 0.0
-    out = fl.flows.join(part.select(F.col("id").alias("dst"), "mod"), "dst").groupBy(F.col("src").alias("id"), "mod").agg(F.sum("f").alias("fo"), F.lit(0.0).alias("fi"))
-    into = fl.flows.join(part.select(F.col("id").alias("src"), "mod"), "src").groupBy(F.col("dst").alias("id"), "mod").agg(F.lit(0.0).alias("fo"), F.sum("f").alias("fi"))
+    out = fl.flows.join(few(part.select(F.col("id").alias("dst"), "mod")), "dst").groupBy(F.col("src").alias("id"), "mod").agg(F.sum("f").alias("fo"), F.lit(0.0).alias("fi"))
+    into = fl.flows.join(few(part.select(F.col("id").alias("src"), "mod")), "src").groupBy(F.col("dst").alias("id"), "mod").agg(F.lit(0.0).alias("fo"), F.sum("f").alias("fi"))
     links = out.unionByName(into).groupBy("id", "mod").agg(F.sum("fo").alias("fo"), F.sum("fi").alias("fi"))
     me = fl.nodes.join(part, "id").withColumnRenamed("mod", "old").join(node_exits(fl), "id")
     if active is not None:

@@ -175,3 +175,32 @@ def test_weights_are_divided_while_edges_are_laid_out(spark, hub):
     raw = edges.withColumn("w", F.col("w") * (1 + F.col("src") % 3))
     got = {(r.src, r.dst): r.w for r in G.link(raw, 4, hub, normal=True).edges.collect()}
     assert got == pytest.approx({(r.src, r.dst): r.w for r in G.normalise(raw).collect()})
+
+
+def test_edges_of_the_tables_are_written_twice(spark):
+    """As they are counted, and normalised where they lie; and the vertices, and the first and last state."""
+    from floeberg.plans.tables import ranked
+
+    before = folders(spark)
+    rates, edges = ranked(spark, SF, 2)
+    assert len(folders(spark) - before) == 4 and edges.count() > rates.count() > 0
+
+
+def test_labels_meet_flows_where_they_lie(spark, no_broadcast):
+    """Between modules: flows are exchanged by their target only."""
+    from floeberg.plans.tables import by_tens, flow
+
+    fl = flow(spark, SF)
+    plan = G.between(fl.flows, by_tens(fl.nodes))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(dst" in plan and "hashpartitioning(src" not in plan and "SortMergeJoin" not in plan
+
+
+def test_exits_of_single_nodes_need_no_labels(spark, no_broadcast):
+    from floeberg.operators import infomap as I
+
+    nodes, edges = star(spark)
+    fl = G.flow(G.pagerank(nodes, edges, 2, buckets=4), edges)
+    out = I.node_exits(fl)
+    assert not re.search(r"Exchange hashpartitioning\((dst|m1)", out._jdf.queryExecution().executedPlan().toString())
+    single = G.modules(fl, fl.nodes.select("id", F.col("id").alias("mod")))
+    assert {r.id: r.q for r in out.collect()} == pytest.approx({r.mod: r.exit for r in single.collect()})
