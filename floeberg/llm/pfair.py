@@ -14,8 +14,9 @@ nearest that have it, and the default ones (roots of the row counts) are whole
 
 When a source runs out, the others go on with their target weights, divided by
 what is left of the total, so every row is placed once and none is dropped or
-repeated.  With more than MOST_SOURCES sources the smallest ones without a
-weight of their own are mixed as GROUPS sources, by a hash of the name.
+repeated.  Sources of one weight and one number of blocks take turns as one class,
+which holds the windows of each of them, so any number of sources is scheduled by
+its few different sizes, in the same way for all.
 
 Cases: a null source is a source of its own; the last block of a source may be
 short; repeated rows and ties are placed apart; ids may have any type; weights
@@ -32,11 +33,13 @@ from math import gcd, lcm
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..plans.iterate import cut
 from .common import BROADCAST_ROWS, maybe_broadcast
 
 BLOCK, PERIOD, TEMPER = 64, 1024, 0.5
 #: Largest common denominator of given weights.
 EXACT = 1 << 14
+#: Most given names that are compared one by one (more are joined), and hashed parts in which a class numbers its members.
 MOST_SOURCES, GROUPS = 512, 64
 #: Rows of a source that are ranked together in one task.
 RANKED = 2_048
@@ -62,7 +65,7 @@ def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
 def shares_of(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Whole numbers in proportion to the weights, at most ``period`` in all:
     exact where the weights have such a common denominator."""
-    given = {s: Fraction(str(w)) for s, w in weights.items()}
+    given = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
     least = min((w for w in given.values() if w > 0), default=Fraction(1))
     given = {s: w if w > 0 else least for s, w in given.items()}
     total = sum(given.values())
@@ -127,21 +130,34 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int)
 def _tables(spark: SparkSession, plan: list[dict]) -> tuple[DataFrame, DataFrame]:
     spans = [(s, p, ph["first"][s], ph["first"][s] + ph["used"][s] * ph["repeat"], ph["used"][s], ph["slot"], ph["length"]) for p, ph in enumerate(plan) for s in ph["used"]]
     slots = [(s, p, i, k, r, d) for p, ph in enumerate(plan) for k, (s, i, r, d) in enumerate(ph["plan"])]
-    a = spark.createDataFrame(spans, "_source string, phase int, _from long, _to long, _share long, _slot0 long, _length long")
-    b = spark.createDataFrame(slots, "_source string, phase int, _number long, _place long, _release long, _deadline long")
+    a = spark.createDataFrame(spans, "_class string, phase int, _from long, _to long, _share long, _slot0 long, _length long")
+    b = spark.createDataFrame(slots, "_class string, phase int, _number long, _place long, _release long, _deadline long")
     return maybe_broadcast(a, len(spans)), maybe_broadcast(b, len(slots))
 
 
-def _few_sources(named: DataFrame, own: list[str]) -> DataFrame:
-    """named, its smallest sources under the names of groups if there are too many."""
-    sizes = named.groupBy("_source").count()
-    if sizes.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
-        return named
-    largest = sizes.orderBy(F.desc("count"), "_source").limit(MOST_SOURCES - GROUPS).select("_source")
-    kept = largest.unionAll(named.sparkSession.createDataFrame([(s,) for s in own], "_source string")).distinct().withColumn("_own", F.lit(True))
-    group = F.concat(F.lit("\x00group"), F.pmod(F.xxhash64("_source", F.lit(7)), F.lit(GROUPS)).cast("string"))
-    joined = named.join(F.broadcast(kept), "_source", "left")  # at most MOST_SOURCES and the given names
-    return joined.withColumn("_source", F.when(F.col("_own"), F.col("_source")).otherwise(group)).drop("_own")
+def classes_of(sizes: DataFrame, weights: Mapping[str, float] | None, block: int, temper: float) -> DataFrame:
+    """sizes (_source, _rows) with _class, _members and _member: sources of one weight and as many blocks are one class.
+
+    They take turns in it.  Class block k, of m members with weight w each, lies in the window from k / (m w) to
+    (k + 1) / (m w), which is inside the window of its member's own block k div m, from (k div m) / w on: a class
+    keeps the windows of all its members.  Sources with a weight of their own are classes of their own."""
+    own = list(weights or ())
+    alone = F.col("_source").isin(own) if 0 < len(own) <= MOST_SOURCES else F.lit(False)
+    if len(own) > MOST_SOURCES:
+        named = sizes.sparkSession.createDataFrame([(s, True) for s in own], "_source string, _own boolean")
+        sizes = sizes.join(maybe_broadcast(named, len(own)), "_source", "left")
+        alone = F.coalesce("_own", F.lit(False))
+    # By default equal counts give equal weights; where weights are given, all sources without one have the least.
+    shared = F.col("_rows") if weights is None else F.ceil(F.col("_rows") / block)
+    name = F.when(alone, F.concat(F.lit("s"), "_source")).otherwise(F.concat(F.lit("n"), shared.cast("string")))
+    keyed = sizes.withColumn("_class", name).select("_source", "_rows", "_class")
+    # A member's number in its class: its place in a hashed part plus the members of the parts before.
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("_source", F.lit(7)), F.lit(GROUPS)))
+    per = keyed.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = per.select("_class", "_part", (F.sum("_n").over(Window.partitionBy("_class").orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_class")).alias("_members"))
+    at = F.row_number().over(Window.partitionBy("_class", "_part").orderBy("_source"))
+    numbered = keyed.withColumn("_at", at).join(before, ["_class", "_part"])
+    return numbered.select("_source", "_rows", "_class", "_members", (F.col("_before") + F.col("_at") - 1).alias("_member"))
 
 
 def pfair_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, period: int | None = None, temper: float = TEMPER, record: bool = False) -> DataFrame:
@@ -153,28 +169,35 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block
     spark = docs.sparkSession
     # The record travels as one column, so its names can't clash with the schedule's.
     named = docs.select("doc_id", F.struct("*").alias("_row"), F.coalesce(F.col("source"), F.lit(_NULL)).alias("_source"))
-    named = _few_sources(named, list(weights or ()))
-    sizes = {r[0]: r[1] for r in named.groupBy("_source").count().collect()}  # at most MOST_SOURCES and the given ones
     if period is None:
         period = PERIOD if weights is None else EXACT
+    members = cut(classes_of(named.groupBy("_source").agg(F.count(F.lit(1)).alias("_rows")), weights, block, temper))
+    classes = members.groupBy("_class").agg(F.first("_members").alias("m"), F.max(F.ceil(F.col("_rows") / block)).alias("blocks"), F.max("_rows").alias("rows")).collect()  # with all sources, at most the root of twice the rows, and the given names
     if weights is None:
-        weights = {s: n**temper for s, n in sizes.items()}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, {s: weights.get(s, 0) for s in sizes}, period)
+        each = {r["_class"]: r.rows**temper for r in classes}
+    else:
+        given = [Fraction(str(w)) for s, w in weights.items() if w > 0]
+        each = {r["_class"]: Fraction(str(weights[r["_class"][1:]])) if r["_class"][0] == "s" else 0 for r in classes}
+        least = min([w for w in each.values() if w > 0], default=min(given, default=Fraction(1)))
+        each = {c: w if w > 0 else least for c, w in each.items()}
+    plan = phases({r["_class"]: r.blocks * r.m for r in classes}, {r["_class"]: each[r["_class"]] * r.m for r in classes}, period)
     spans, slots = _tables(spark, plan)
-    shares = spark.createDataFrame([(s, -(-n // RANKED)) for s, n in sizes.items()], "_source string, _buckets long")
+    n_sources = members.count()
+    shares = members.select("_source", "_class", "_members", "_member", F.ceil(F.col("_rows") / RANKED).alias("_buckets"))
     # A row's rank in its source: its rank in a hashed bucket plus the buckets before.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id(), F.lit(5))).otherwise(F.xxhash64("doc_id", F.lit(5)))
-    bucketed = named.withColumn("_hash", key).join(maybe_broadcast(shares, len(sizes)), "_source").withColumn("_bucket", F.pmod("_hash", "_buckets"))
+    bucketed = named.withColumn("_hash", key).join(maybe_broadcast(shares, n_sources), "_source").withColumn("_bucket", F.pmod("_hash", "_buckets"))
     counts = bucketed.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_source", "_bucket", (F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    n_buckets = sum(-(-n // RANKED) for n in sizes.values())
+    n_buckets = members.agg(F.sum(F.ceil(F.col("_rows") / RANKED))).first()[0] or 0
     inside = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", "doc_id"))
     ranked = bucketed.withColumn("_in", inside).join(maybe_broadcast(before, n_buckets, BROADCAST_ROWS), ["_source", "_bucket"])
     rank = F.col("_before") + F.col("_in") - 1
     numbered = ranked.withColumn("block", F.floor(rank / block).cast("long")).withColumn("place", (rank % block).cast("int"))
-    placed = numbered.join(spans, "_source").where((F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    turn = F.floor((F.col("block") - F.col("_from")) / F.col("_share")).cast("long")
-    placed = placed.withColumn("_turn", turn).withColumn("_number", (F.col("block") - F.col("_from")) % F.col("_share")).join(slots, ["_source", "phase", "_number"])
+    numbered = numbered.withColumn("_turned", F.col("block") * F.col("_members") + F.col("_member"))
+    placed = numbered.join(spans, "_class").where((F.col("_turned") >= F.col("_from")) & (F.col("_turned") < F.col("_to")))
+    turn = F.floor((F.col("_turned") - F.col("_from")) / F.col("_share")).cast("long")
+    placed = placed.withColumn("_turn", turn).withColumn("_number", (F.col("_turned") - F.col("_from")) % F.col("_share")).join(slots, ["_class", "phase", "_number"])
     base = F.col("_slot0") + F.col("_turn") * F.col("_length")
     return placed.select(
         *(F.col(f"_row.`{c}`") for c in docs.columns if c not in SCHEDULE), *([F.col("_row")] if record else []), "block", "phase",

@@ -290,6 +290,24 @@ def test_mixing_many_sources(spark, monkeypatch):
     assert slots == set(range(len(slots))) and len({(r.slot, r.place) for r in got}) == 900
 
 
+@pytest.mark.parametrize("n", [5, 600])
+def test_every_source_keeps_its_own_weight_however_many_there_are(spark, n):
+    """Sources of 4 rows and three of 64: each stays within a block of its weight, and each goes on to its end."""
+    rows = {f"s{k}": 4 for k in range(n)} | {f"t{k}": 64 for k in range(3)}
+    docs = spark.createDataFrame([(f"{s}-{k}", s) for s, m in rows.items() for k in range(m)], "doc_id string, source string")
+    got = pfair.pfair_mix(docs, block=2).collect()
+    assert Counter(r.source for r in got) == rows and len({(r.slot, r.place) for r in got}) == len(got)
+    slots = {r.slot: (r.source, r.phase, r.block) for r in got}
+    assert sorted(slots) == list(range(len(slots))) and all(r.release <= r.slot < r.deadline for r in got)
+    total, served = sum(m**0.5 for m in rows.values()), Counter()
+    for k in range(len(slots)):
+        s, phase, block = slots[k]
+        assert block == served[s]
+        served[s] += 1
+        if phase == 0:
+            assert all(abs(served[x] - (k + 1) * m**0.5 / total) < 1.2 for x, m in rows.items())  # shares are 1024ths
+
+
 SECRET = 'password="hunter2222"'
 ENCODERS = [
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
