@@ -23,6 +23,8 @@ from .posit import ES, decode_exact, encode_exact, nar
 
 #: Bits of the quires of the standard widths; others have 512.
 BITS = {8: 32, 16: 128, 32: 512}
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
 _PIECES = "chunk long, lo long, mid long, hi long, odd long"
 
 
@@ -31,6 +33,12 @@ def unit(width: int, es: int) -> int:
     return -2 * ((width - 2) << es)
 
 
+def in_parts(*columns: pa.Array):
+    """The columns' values as lists, ROWS rows at a time, whatever the batch's size."""
+    for lo in range(0, len(columns[0]), ROWS):
+        yield [c.slice(lo, ROWS).to_pylist() for c in columns]
+
+
 class Quire:
     """Functions on columns of one quire format."""
 
@@ -69,8 +77,10 @@ class Quire:
     def _map(self, kind: str, f):
         @F.arrow_udf(kind)
         def run(*columns: pa.Array) -> pa.Array:
-            rows = zip(*(c.to_pylist() for c in columns), strict=True)
-            return pa.array([None if None in row else f(*row) for row in rows], pa.binary() if kind == "binary" else pa.int64())
+            to, out = pa.binary() if kind == "binary" else pa.int64(), []
+            for part in in_parts(*columns):
+                out.append(pa.array([None if None in row else f(*row) for row in zip(*part, strict=True)], to))
+            return pa.concat_arrays(out or [pa.array([], to)])
 
         return run
 
@@ -136,7 +146,7 @@ def _sum_pieces(df: DataFrame, keys: Sequence[str], piece: Column, finish, kind:
     @F.arrow_udf("binary" if pa.types.is_binary(kind) else "double")
     def whole(groups: pa.Array) -> pa.Array:
         out = []
-        for group in groups.to_pylist():
+        for group in (g for (part,) in in_parts(groups) for g in part):
             n = sum((g["lo"] + (g["mid"] << 32) + (g["hi"] << 64)) << 32 * g["chunk"] for g in group)
             out.append(finish(n, sum(g["odd"] for g in group)))
         return pa.array(out, kind)
@@ -172,7 +182,7 @@ def exact_sums(df: DataFrame, keys: Sequence[str], value: str, name: str = "sum"
     @F.arrow_udf("double")
     def whole(groups: pa.Array) -> pa.Array:
         out = []
-        for group in groups.to_pylist():
+        for group in (g for (part,) in in_parts(groups) for g in part):
             odd = {g["chunk"] for g in group if g["chunk"] < 0}
             n = sum((g["lo"] + (g["mid"] << 32) + (g["hi"] << 64)) << 32 * g["chunk"] for g in group if g["chunk"] >= 0)
             if -3 in odd or {-1, -2} <= odd:

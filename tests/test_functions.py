@@ -186,3 +186,26 @@ def test_posit_operators(spark):
     ).first()
     assert row[:10] == (1.75, 3.25, -1.875, 1.25, -2.5, 0.75, False, True, True, -0.875)
     assert row[10:] == (a + 1, a - 1, (a << 1 & 0xFFFF) >> 1, 0xFFFF - a, a | b, 2.0, 1.0)
+
+
+def test_quires_hold_few_rows_as_objects(monkeypatch):
+    """A batch of any size becomes Python objects 256 rows at a time."""
+    import pyarrow as pa
+
+    from floeberg.functions import quire as Q
+
+    parts = list(Q.in_parts(pa.array(range(1000)), pa.array([None] * 1000, pa.int64())))
+    assert [len(a) for a, _ in parts] == [256, 256, 256, 232] and [x for a, _ in parts for x in a] == list(range(1000))
+    assert not list(Q.in_parts(pa.array([], pa.int64())))
+
+
+def test_many_groups_of_exact_sums(spark):
+    from floeberg.functions import quire as Q
+
+    df = spark.range(2000).select((F.col("id") % 700).alias("k"), (F.col("id") * 0.1).alias("v"))
+    want = {}
+    for k in range(2000):
+        want.setdefault(k % 700, []).append(k * 0.1)
+    import math
+
+    assert {r.k: r.s for r in Q.exact_sums(df, ["k"], "v", "s").collect()} == {k: math.fsum(v) for k, v in want.items()}
