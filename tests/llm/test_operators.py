@@ -308,6 +308,14 @@ def test_every_source_keeps_its_own_weight_however_many_there_are(spark, n):
             assert all(abs(served[x] - (k + 1) * m**0.5 / total) < 1.2 for x, m in rows.items())  # shares are 1024ths
 
 
+def test_classes_do_not_depend_on_how_many_sources_there_are(spark):
+    """A source's class and its turns are its own size's, with 6 sources as with 601."""
+    for n in (5, 600):
+        sizes = spark.createDataFrame([*((f"s{k}", 4) for k in range(n)), ("t", 64)], "_source string, _rows long")
+        got = {r._source: (r._class, r._members, r._member) for r in pfair.classes_of(sizes, None, 2, 0.5).collect()}
+        assert got["t"] == ("n64", 1, 0) and {got[f"s{k}"] for k in range(n)} == {("n4", n, k) for k in range(n)}
+
+
 SECRET = 'password="hunter2222"'
 ENCODERS = [
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
