@@ -50,8 +50,20 @@ def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
-def add(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("i", "j", "v").unionByName(b.select("i", "j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+#: Entries whose sums one task holds.
+HELD = 2_000_000
+
+
+def spread(entries: DataFrame, rows: int, most: int = HELD) -> DataFrame:
+    """Entries (i, j, v) dealt by their place over so many tasks that each gets about ``most`` of ``rows``; as they are where there are tasks enough."""
+    parts = -(-rows // most)
+    return entries.repartition(parts, "i", "j") if parts > int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")) else entries
+
+
+def add(a: DataFrame, b: DataFrame, rows: int = 0) -> DataFrame:
+    """A + B; with ``rows``, how many entries both have at most, no task holds more than HELD sums or so."""
+    both = spread(a.select("i", "j", "v").unionByName(b.select("i", "j", "v")), rows)
+    return both.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def scale(a: DataFrame, by: float) -> DataFrame:

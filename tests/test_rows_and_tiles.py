@@ -148,3 +148,12 @@ def test_products_of_entries_are_not_shuffled(spark):
     assert got[0] == 1600 and got[1] == (want @ want.T).sum() and used < 3_000_000
     plan = M.multiply(a, M.transpose(a))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(gi" in plan and "sum(" not in plan
+
+
+def test_sums_are_spread_over_enough_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD", 10)
+    entries = [(i, j, 1.0) for i in range(20) for j in range(5)]
+    a = frame(spark, entries)
+    assert M.spread(a, 100, 10).rdd.getNumPartitions() == 10 and M.spread(a, 30, 10).rdd.getNumPartitions() == 3
+    got = {(r.i, r.j): r.v for r in M.add(a, M.transpose(a), 200).collect()}
+    assert got == {(i, j): (i < 20 and j < 5) + (j < 20 and i < 5) for i in range(20) for j in range(20) if i < 5 or j < 5}
