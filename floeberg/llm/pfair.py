@@ -8,9 +8,10 @@ are taken as the decimals they are written as, so 0.6, 0.3 and 0.1 are exactly
 6, 3 and 1 blocks of every 10 slots.  The schedule of one such period, made once
 on the driver from the weights alone, repeats without end: a block's slot is
 arithmetic on its number, and all rows are placed by joins with small tables of
-known size.  Weights with no common denominator up to ``period`` are set to the
-nearest that have it, and the default ones (roots of the row counts) are whole
-1024ths.
+known size.  A period longer than what is left is made only up to there, so there
+are never more slots than blocks.  The default weights (roots of the row counts)
+are rounded each by itself, to the nearest of 1024 steps between two powers of
+two: no weight depends on how many sources there are.
 
 When a source runs out, the others go on with their target weights, divided by
 what is left of the total, so every row is placed once and none is dropped or
@@ -37,8 +38,10 @@ from ..plans.iterate import cut
 from .common import BROADCAST_ROWS, maybe_broadcast
 
 BLOCK, PERIOD, TEMPER = 64, 1024, 0.5
-#: Largest common denominator of given weights.
+#: Denominators that are exact in a period of 16,384 steps.
 EXACT = 1 << 14
+#: Deadlines beyond all slots, of very small weights.
+NEVER = 1 << 62
 #: Most given names that are compared one by one (more are joined), and hashed parts in which a class numbers its members.
 MOST_SOURCES, GROUPS = 512, 64
 #: Rows of a source that are ranked together in one task.
@@ -47,32 +50,24 @@ _NULL = "\x00null"
 SCHEDULE = ("block", "phase", "slot", "release", "deadline", "place")
 
 
-def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole blocks per period, at least one each: largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (out[s] - exact[s], s))
-    k = 0
-    while sum(out.values()) < period:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s], s))] -= 1
-    return out
+def held(weight: float | Fraction, period: int | None) -> Fraction:
+    """The weight as a fraction: exact without ``period`` or with a denominator up to it, else
+    the nearest of ``period`` steps between two powers of two.  Other weights have no part in it."""
+    w = weight if isinstance(weight, Fraction) else Fraction(str(weight))
+    if period is None or w <= 0 or w.denominator <= period:
+        return w
+    power = w.numerator.bit_length() - w.denominator.bit_length()
+    octave = Fraction(2) ** (power if Fraction(2) ** power <= w else power - 1)
+    return round(w / octave * period) * octave / period
 
 
-def shares_of(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole numbers in proportion to the weights, at most ``period`` in all:
-    exact where the weights have such a common denominator."""
-    given = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in weights.items()}
+def shares_of(weights: Mapping[str, float], period: int | None = None) -> dict[str, int]:
+    """Whole numbers in proportion to the weights, each held by itself."""
+    given = {s: held(w, period) for s, w in weights.items()}
     least = min((w for w in given.values() if w > 0), default=Fraction(1))
     given = {s: w if w > 0 else least for s, w in given.items()}
-    total = sum(given.values())
-    size = lcm(*((w / total).denominator for w in given.values()))
-    if size <= period:
-        return {s: int(w / total * size) for s, w in given.items()}
-    return quotas(given, max(period, 2 * len(given)))
+    size = lcm(*(w.denominator for w in given.values()))
+    return {s: int(w * size) for s, w in given.items()}
 
 
 def earliest_deadline(shares: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> list[tuple[str, int, int, int]]:
@@ -99,7 +94,7 @@ def earliest_deadline(shares: Mapping[str, int], blocks: Mapping[str, int] | Non
     return out
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[dict]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int | None = None) -> list[dict]:
     """Stretches of constant shares until all blocks are placed.
 
     Each has its period's schedule, how often it repeats, and where its slots
@@ -128,10 +123,12 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int)
 
 
 def _tables(spark: SparkSession, plan: list[dict]) -> tuple[DataFrame, DataFrame]:
-    spans = [(s, p, ph["first"][s], ph["first"][s] + ph["used"][s] * ph["repeat"], ph["used"][s], ph["slot"], ph["length"]) for p, ph in enumerate(plan) for s in ph["used"]]
-    slots = [(s, p, i, k, r, d) for p, ph in enumerate(plan) for k, (s, i, r, d) in enumerate(ph["plan"])]
-    a = spark.createDataFrame(spans, "_class string, phase int, _from long, _to long, _share long, _slot0 long, _length long")
-    b = spark.createDataFrame(slots, "_class string, phase int, _number long, _place long, _release long, _deadline long")
+    # Classes go by numbers here, as the slots may be as many as the blocks.
+    number = {s: k for k, s in enumerate(dict.fromkeys(s for ph in plan for s in ph["used"]))}
+    spans = [(s, number[s], p, ph["first"][s], ph["first"][s] + ph["used"][s] * ph["repeat"], ph["used"][s], ph["slot"], ph["length"]) for p, ph in enumerate(plan) for s in ph["used"]]
+    slots = [(number[s], p, i, k, r, min(d, NEVER)) for p, ph in enumerate(plan) for k, (s, i, r, d) in enumerate(ph["plan"])]
+    a = spark.createDataFrame(spans, "_class string, _no int, phase int, _from long, _to long, _share long, _slot0 long, _length long")
+    b = spark.createDataFrame(slots, "_no int, phase int, _number long, _place long, _release long, _deadline long")
     return maybe_broadcast(a, len(spans)), maybe_broadcast(b, len(slots))
 
 
@@ -165,22 +162,21 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block
 
     Columns of docs with these names are left out; ``record`` adds the whole row as _row.
     ``slot`` orders the blocks and ``place`` the rows in one.  Without weights,
-    a source's weight is its row count to the power ``temper``."""
+    a source's weight is its row count to the power ``temper``, held in ``period`` (1024) steps;
+    given weights are exact, or with a ``period`` held in it."""
     spark = docs.sparkSession
     # The record travels as one column, so its names can't clash with the schedule's.
     named = docs.select("doc_id", F.struct("*").alias("_row"), F.coalesce(F.col("source"), F.lit(_NULL)).alias("_source"))
-    if period is None:
-        period = PERIOD if weights is None else EXACT
     members = cut(classes_of(named.groupBy("_source").agg(F.count(F.lit(1)).alias("_rows")), weights, block, temper))
     classes = members.groupBy("_class").agg(F.first("_members").alias("m"), F.max(F.ceil(F.col("_rows") / block)).alias("blocks"), F.max("_rows").alias("rows")).collect()  # with all sources, at most the root of twice the rows, and the given names
     if weights is None:
-        each = {r["_class"]: r.rows**temper for r in classes}
+        each = {r["_class"]: held(r.rows**temper, period or PERIOD) for r in classes}
     else:
-        given = [Fraction(str(w)) for s, w in weights.items() if w > 0]
-        each = {r["_class"]: Fraction(str(weights[r["_class"][1:]])) if r["_class"][0] == "s" else 0 for r in classes}
+        given = [held(w, period) for w in weights.values() if w > 0]
+        each = {r["_class"]: held(weights[r["_class"][1:]], period) if r["_class"][0] == "s" else 0 for r in classes}
         least = min([w for w in each.values() if w > 0], default=min(given, default=Fraction(1)))
         each = {c: w if w > 0 else least for c, w in each.items()}
-    plan = phases({r["_class"]: r.blocks * r.m for r in classes}, {r["_class"]: each[r["_class"]] * r.m for r in classes}, period)
+    plan = phases({r["_class"]: r.blocks * r.m for r in classes}, {r["_class"]: each[r["_class"]] * r.m for r in classes})
     spans, slots = _tables(spark, plan)
     n_sources = members.count()
     shares = members.select("_source", "_class", "_members", "_member", F.ceil(F.col("_rows") / RANKED).alias("_buckets"))
@@ -197,7 +193,7 @@ def pfair_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block
     numbered = numbered.withColumn("_turned", F.col("block") * F.col("_members") + F.col("_member"))
     placed = numbered.join(spans, "_class").where((F.col("_turned") >= F.col("_from")) & (F.col("_turned") < F.col("_to")))
     turn = F.floor((F.col("_turned") - F.col("_from")) / F.col("_share")).cast("long")
-    placed = placed.withColumn("_turn", turn).withColumn("_number", (F.col("_turned") - F.col("_from")) % F.col("_share")).join(slots, ["_class", "phase", "_number"])
+    placed = placed.withColumn("_turn", turn).withColumn("_number", (F.col("_turned") - F.col("_from")) % F.col("_share")).join(slots, ["_no", "phase", "_number"])
     base = F.col("_slot0") + F.col("_turn") * F.col("_length")
     return placed.select(
         *(F.col(f"_row.`{c}`") for c in docs.columns if c not in SCHEDULE), *([F.col("_row")] if record else []), "block", "phase",

@@ -316,6 +316,50 @@ def test_classes_do_not_depend_on_how_many_sources_there_are(spark):
         assert got["t"] == ("n64", 1, 0) and {got[f"s{k}"] for k in range(n)} == {("n4", n, k) for k in range(n)}
 
 
+def _sizes_of(n):
+    return {f"z{k}": 2 * k + 1 for k in range(n)} | {"t": 3000, "u": 1700}
+
+
+def test_weights_do_not_depend_on_how_many_sizes_there_are():
+    """The shares of two sources are in one proportion, with 5 other sizes as with 600."""
+    got = []
+    for n in (5, 510, 511, 600):
+        shares = pfair.shares_of({s: m**0.5 for s, m in _sizes_of(n).items()}, pfair.PERIOD)
+        assert all(abs(shares[s] / shares["t"] / (m / 3000) ** 0.5 - 1) < 1 / 1000 for s, m in _sizes_of(n).items())
+        got.append(Fraction(shares["u"], shares["t"]))
+    assert len(set(got)) == 1
+
+
+def test_many_sizes_are_mixed_by_their_own_weights(spark):
+    """600 sizes: every block has the window of its source's weight, as the weight is with a few sources."""
+    rows = _sizes_of(600)
+    docs = spark.createDataFrame(list(rows.items()), "source string, n long").selectExpr("source", "explode(sequence(1L, n)) AS k").selectExpr("concat(source, '-', k) AS doc_id", "source")
+    got = pfair.pfair_mix(docs, block=64).select("source", "phase", "block", "slot", "release", "deadline").distinct().collect()
+    assert sorted(r.slot for r in got) == list(range(sum(-(-m // 64) for m in rows.values()))) and all(r.release <= r.slot < r.deadline for r in got)
+    weight = {s: pfair.held(m**0.5, pfair.PERIOD) for s, m in rows.items()}
+    first = [r for r in got if r.phase == 0]
+    assert len(first) > 600
+    for r in first:
+        w = weight[r.source] / sum(weight.values())
+        assert (r.release, r.deadline) == (int(r.block / w), -int(-(r.block + 1) / w // 1))
+
+
+def test_given_weights_of_any_length_are_exact():
+    weights = {"a": 0.70711, "b": 0.57735, "c": 0.44721}
+    first = pfair.phases({s: int(w * 300_000) for s, w in weights.items()}, weights)[0]
+    total, served = sum(Fraction(str(w)) for w in weights.values()), Counter()
+    assert first["length"] * first["repeat"] > 170_000
+    for k, (s, *_) in enumerate(first["plan"]):
+        served[s] += 1
+        assert all(abs(served[x] - (k + 1) * Fraction(str(w)) / total) < 1 for x, w in weights.items())
+
+
+def test_very_small_weights_are_scheduled(spark):
+    docs = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "doc_id long, source string")
+    got = pfair.pfair_mix(docs, {"a": 1, "b": 1e-30}, block=2).collect()
+    assert {r.slot: r.source for r in got} == {k: "ab"[k // 5] for k in range(10)}
+
+
 SECRET = 'password="hunter2222"'
 ENCODERS = [
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
