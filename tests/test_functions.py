@@ -1,5 +1,6 @@
 from fractions import Fraction
 
+import __spark_entry__
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -209,3 +210,10 @@ def test_many_groups_of_exact_sums(spark):
     import math
 
     assert {r.k: r.s for r in Q.exact_sums(df, ["k"], "v", "s").collect()} == {k: math.fsum(v) for k, v in want.items()}
+
+
+def test_prices_go_to_python_once(spark):
+    """posit32_encode: the rows that wait for Python hold the price and its argument, not a copy for each use of the pattern."""
+    plan = __spark_entry__.queries()["posit32_encode"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    after = plan[plan.index("ArrowEvalPython") :].splitlines()[1]
+    assert 1 <= after.count("l_extendedprice#") <= 4
