@@ -1,11 +1,23 @@
-"""Matrices in square tiles, and their product with one shuffle of tiles.
+"""Matrices in square tiles, and their products.
 
 tiles(bi, bj, at, v): places inside the tile in ascending order, row by row, and values
-as arrays, one record a tile.  The result of C = A B is made in squares of GROUP x GROUP
+as arrays, one record a tile.
+
+Products of entries (``product``, ``gram``): the entries of one inner index lie in one
+task, which cuts them into chunks by squares' sides of SPAN tiles, and sends a chunk to
+the squares of the result where it meets another one, to no others.  So an entry is sent
+at most as often as its inner index has chunks on the other side: never more often than
+it has products, nor than the result has squares in a row, and as often as before for
+each entry when the matrix gets more rows and more inner indexes.  Chunks travel as
+bytes of the narrowest kind that holds their numbers.  The squares of A A' on one side of
+the diagonal are made, and give those on the other.
+
+Products of stored tiles (``multiply``): the result is made in squares of GROUP x GROUP
 tiles.  Every tile of A goes to the squares of its block row whose inner block B has, and
 every tile of B likewise; the tiles of one square then lie sorted by inner block in one
-task, which multiplies their entries in numpy, one inner block after the other in steps
-of bounded size, and holds one square."""
+task.
+
+In both, a task multiplies entries in numpy in steps of bounded size and holds one square."""
 
 from __future__ import annotations
 
@@ -13,16 +25,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.iterate import cut
-
 TILE = 256
-#: Tiles on a side of the square of the result that is made at once.
+#: Tiles on a side of the square of the result that is made at once of stored tiles.
 GROUP = 4
+#: The same of entries, at most, and rows on a side if tiles are large.
+SPAN, SIDE = 8, 4096
+#: Entries that are dealt to squares at once, and entries that are sent in one batch.
+DEALT, SENT = 1 << 17, 1 << 20
 #: Products of two entries in one numpy step.
 STEP = 1 << 20
 #: Keys of tiles that are broadcast at most; more are joined by a shuffle of the tiles.
 KEYS = 1 << 20
 _TILES = "bi long, bj long, at array<int>, v array<double>"
+_CHUNKS = "gi long, gj long, kinds string, n binary, m binary, i binary, j binary, v binary, w binary"
+_KINDS = ("u1", "u2", "i4", "f8")
+
+
+def _tile(bi: int, bj: int, at: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bi]), pa.array([bj]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([v], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
 
 
 def to_tiles(a: DataFrame, size: int = TILE) -> DataFrame:
@@ -37,7 +57,7 @@ def to_tiles(a: DataFrame, size: int = TILE) -> DataFrame:
         def told():
             places, values = np.concatenate(at), np.concatenate(v)
             first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([places[first]], pa.list_(pa.int32())), pa.array([np.add.reduceat(values, first)], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
+            return _tile(*key, places[first], np.add.reduceat(values, first))
 
         for batch in batches:
             bi, bj, place, value = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -125,7 +145,7 @@ def multiply(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
                     part = np.s_[x * size : (x + 1) * size, y * size : (y + 1) * size]
                     at = np.flatnonzero(seen[part])
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([now[0] * GROUP + x]), pa.array([now[1] * GROUP + y]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[part].reshape(-1)[at]], pa.list_(pa.float64()))], ["bi", "bj", "at", "v"])
+                        yield _tile(now[0] * GROUP + x, now[1] * GROUP + y, at, total[part].reshape(-1)[at])
 
         for batch in batches:
             keys = [batch.column(k).to_pylist() for k in range(5)]
@@ -153,12 +173,156 @@ def multiply(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
     return meeting(a, b).mapInArrow(run, _TILES)
 
 
+def _narrow(x: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of the narrowest kind that holds all numbers as they are, and the numbers in it."""
+    with np.errstate(invalid="ignore"):
+        for kind, name in enumerate(_KINDS[:-1]):
+            if (own := x.astype(name)).size == 0 or (own == x).all():
+                return kind, own
+    return len(_KINDS) - 1, x.astype("f8")
+
+
+def _merged(k: np.ndarray, other: np.ndarray, i: np.ndarray, v: np.ndarray):
+    """Sorted entries; those of one place are added."""
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (other[1:] != other[:-1]) | (i[1:] != i[:-1])])
+    return (k, other, i, v) if len(first) == len(k) else (k[first], other[first], i[first], np.add.reduceat(v, first))
+
+
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``start`` and are ``n`` long."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - start, n)
+
+
+def _bytes(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``x`` as one binary for each range that ends at ``ends``."""
+    at = np.r_[0, ends].astype("i4") * np.int32(x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _chunks(k: np.ndarray, i: np.ndarray, side: int):
+    """Runs of entries of one inner index and one side of a square: (inner index, square, start, length)."""
+    g = i // side
+    start = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])]) if len(k) else np.zeros(0, int)
+    return k[start], g[start], start, np.diff(np.r_[start, len(k)])
+
+
+def _dealt(left, right, side: int):
+    """Whole inner indexes, (k, i, v) sorted, dealt to the squares where two chunks meet; without ``right`` the entries meet themselves."""
+    same = right is None
+    right = left if same else right
+    (ka, ga, start_a, n_a), (kb, gb, start_b, n_b) = _chunks(*left[:2], side), _chunks(*right[:2], side)
+    first, last = np.searchsorted(kb, ka), np.searchsorted(kb, ka, "right")
+    if same:
+        first = np.arange(len(ka))  # chunks before have met this one
+    met, before = last - first, np.r_[0, np.cumsum(n_b)]
+    ends = np.cumsum(n_a * met + before[last] - before[first])
+    kinds, numbers = zip(*(_narrow(x) for x in (left[1] % side, right[1] % side, left[2], right[2])))
+    lo = 0
+    while lo < len(ka):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SENT, "right")))
+        a, b = np.repeat(np.arange(lo, hi), met[lo:hi]), _places(first[lo:hi], met[lo:hi])
+        lo = hi
+        if not len(a):
+            continue
+        order = np.lexsort((gb[b], ga[a]))
+        a, b = a[order], b[order]
+        x, y, n, m = ga[a], gb[b], n_a[a], n_b[b]
+        if same:
+            m = np.where(x == y, 0, m)  # on the diagonal once
+        to = np.flatnonzero(np.r_[(x[1:] != x[:-1]) | (y[1:] != y[:-1]), True])
+        at, over = _places(start_a[a], n), _places(start_b[b], m)
+        (kind_n, small_n), (kind_m, small_m) = _narrow(n), _narrow(m)
+        told = "".join(map(str, (kind_n, kind_m, *kinds)))
+        own, other = np.cumsum(n)[to], np.cumsum(m)[to]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x[to]), pa.array(y[to]), pa.array([told] * len(to)), _bytes(small_n, to + 1), _bytes(small_m, to + 1), _bytes(numbers[0][at], own), _bytes(numbers[1][over], other), _bytes(numbers[2][at], own), _bytes(numbers[3][over], other)],
+            ["gi", "gj", "kinds", "n", "m", "i", "j", "v", "w"],
+        )
+
+
+def _sent(entries: DataFrame, same: bool, side: int) -> DataFrame:
+    """(gi, gj, ..): the chunks of entries (k, other, i, v) that meet in a square of the result, dealt and sorted by it.  A record holds
+    whole pairs of chunks: lengths ``n`` and ``m``, places ``i`` and ``j`` in the square, values ``v`` and ``w``."""
+
+    def run(batches):
+        def deal(k, other, i, v):
+            if same:
+                return _dealt((k, i, v), None, side)
+            return _dealt(*((k[s], i[s], v[s]) for s in (~other, other)), side)
+
+        held, size, most = [], 0, DEALT
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size < most:
+                continue
+            now = _merged(*map(np.concatenate, zip(*held)))
+            cut = np.searchsorted(now[0], now[0][-1])  # the last inner index may go on in the next batch
+            if cut:
+                yield from deal(*(c[:cut] for c in now))
+            held = [[c[cut:] for c in now]]
+            size = len(held[0][0])
+            most = max(DEALT, 2 * size)
+        if size:
+            yield from deal(*_merged(*map(np.concatenate, zip(*held))))
+
+    laid = entries.where("k is not null and i is not null and v is not null").repartition("k").sortWithinPartitions("k", "other", "i")
+    return laid.mapInArrow(run, _CHUNKS).repartition("gi", "gj").sortWithinPartitions("gi", "gj")
+
+
+def _squares(sent: DataFrame, same: bool, size: int, span: int) -> DataFrame:
+    """The tiles of the result, one square after the other."""
+    side = size * span
+
+    def run(batches):
+        now, total, seen = None, None, None
+
+        def told():
+            for x in range(span):
+                for y in range(span):
+                    part = np.s_[x * size : (x + 1) * size, y * size : (y + 1) * size]
+                    own, found = total[part], seen[part]
+                    bi, bj = now[0] * span + x, now[1] * span + y
+                    turns = [(bi, bj, own, found), (bj, bi, own.T, found.T)] if same and now[0] != now[1] else [(bi, bj, own, found)]
+                    for bi, bj, own, found in turns:
+                        at = np.flatnonzero(found)
+                        if len(at):
+                            yield _tile(bi, bj, at, own.reshape(-1)[at])
+
+        for batch in batches:
+            for gi, gj, kinds, *numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                if (gi, gj) != now:
+                    if now is not None:
+                        yield from told()
+                    now, total, seen = (gi, gj), np.zeros((side, side)), np.zeros((side, side), bool)
+                n, m, i, j, v, w = (np.frombuffer(x, _KINDS[int(kind)]) for x, kind in zip(numbers, kinds))
+                inner = np.arange(len(n))
+                left = np.repeat(inner, n)
+                right = (left, i, v) if same and gi == gj else (np.repeat(inner, m), j, w)
+                _add_products(total, seen, [(i.astype(int), left, v.astype(float))], [(right[0], right[1].astype(int), right[2].astype(float))])
+        if now is not None:
+            yield from told()
+
+    return sent.mapInArrow(run, _TILES)
+
+
+def _span(size: int) -> int:
+    return max(1, min(SPAN, SIDE // size))
+
+
+def _side(a: DataFrame, inner: str, outer: str, other: bool) -> DataFrame:
+    return a.select(F.col(inner).cast("long").alias("k"), F.lit(other).alias("other"), F.col(outer).cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+
 def product(a: DataFrame, b: DataFrame, size: int = TILE) -> DataFrame:
-    """Entries of A B; the tiles are written once and met from there."""
-    return to_entries(multiply(cut(to_tiles(a, size)), cut(to_tiles(b, size)), size), size)
+    """Entries of A B; entries that repeat are added."""
+    span = _span(size)
+    entries = _side(a, "j", "i", False).unionByName(_side(b, "i", "j", True))
+    return to_entries(_squares(_sent(entries, False, size * span), False, size, span), size)
 
 
 def gram(a: DataFrame, size: int = TILE) -> DataFrame:
-    """Entries of A A'."""
-    tiles = cut(to_tiles(a, size))
-    return to_entries(multiply(tiles, transposed(tiles, size), size), size)
+    """Entries of A A'; entries that repeat are added."""
+    span = _span(size)
+    return to_entries(_squares(_sent(_side(a, "j", "i", False), True, size * span), True, size, span), size)

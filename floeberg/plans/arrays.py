@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import rows as R, sparse as M, tiles as T
 from .iterate import cut
 from .registry import _COUNTS, _QTY, query, r
-from .tables import counts, quantities, table
+from .tables import counts, entries, quantities, table
 
 
 @query(f"WITH {_QTY} SELECT i, round(sum(v * p_retailprice), 2) + 0.0 AS y FROM q JOIN part ON j = p_partkey GROUP BY 1")
@@ -49,4 +49,4 @@ def array_parts(spark, sf):
 @query(f"WITH {_QTY} SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM q a JOIN q b ON a.j = b.j GROUP BY 1, 2")
 def tiled_gram(spark, sf):
     """Suppliers by suppliers: the quantities of the parts that both move, by tiles."""
-    return T.gram(quantities(spark, sf))
+    return T.gram(entries(spark, sf, F.col("l_quantity")))

@@ -157,3 +157,85 @@ def test_sums_are_spread_over_enough_tasks(spark, monkeypatch):
     assert M.spread(a, 100, 10).rdd.getNumPartitions() == 10 and M.spread(a, 30, 10).rdd.getNumPartitions() == 3
     got = {(r.i, r.j): r.v for r in M.add(a, M.transpose(a), 200).collect()}
     assert got == {(i, j): (i < 20 and j < 5) + (j < 20 and i < 5) for i in range(20) for j in range(20) if i < 5 or j < 5}
+
+
+def dealt(sent) -> int:
+    """Entries in the chunks of ``_sent``."""
+    width = {str(kind): np.dtype(name).itemsize for kind, name in enumerate(T._KINDS)}
+    return sum(len(r.i) // width[r.kinds[2]] + len(r.j) // width[r.kinds[3]] for r in sent.collect())
+
+
+def test_entries_go_only_where_they_have_products(spark):
+    """256 rows in 32 squares' sides, 2 entries in each of 500 columns: an entry is sent twice at most, not to 32 squares."""
+    rng = random.Random(11)
+    entries = [(i, j, 7.0) for j in range(500) for i in rng.sample(range(256), 2)]
+    a = frame(spark, entries).cache()
+    a.count()
+    one = sum(len({i // 8 for i in pair}) * 2 for pair in ([entries[2 * j][0], entries[2 * j + 1][0]] for j in range(500)))
+    assert dealt(T._sent(T._side(a, "j", "i", False), True, 8)) == one <= 2 * len(entries)
+    both = T._side(a, "j", "i", False).unionByName(T._side(M.transpose(a), "i", "j", True))
+    assert dealt(T._sent(both, False, 8)) == 2 * one
+
+
+def test_sparse_gram_shuffles_about_its_entries(spark):
+    """2,048 rows that meet by twos in 4,000 columns: each block of 8 columns meets many squares, each entry two at most."""
+    rng = random.Random(13)
+    pairs = [rng.sample(range(2048), 2) for _ in range(4000)]
+    a = frame(spark, [(i, j, 1.0 + i % 50) for j, pair in enumerate(pairs) for i in pair]).cache()
+    a.count()
+    before = shuffled(spark)
+    got = {(r.i, r.j): r.v for r in T.gram(a, 8).collect()}
+    used = shuffled(spark) - before
+    want = defaultdict(float)
+    for pair in pairs:
+        for i in pair:
+            for k in pair:
+                want[i, k] += (1.0 + i % 50) * (1.0 + k % 50)
+    assert got == want and used < 600_000, used
+
+
+def test_chunks_in_any_pieces(monkeypatch):
+    """Inner indexes that span batches, batches that end anywhere, entries that repeat, rows below 0, values of every kind."""
+    rng = random.Random(12)
+    left = sorted((rng.randrange(12), rng.randrange(-20, 40), rng.choice([1.0, 300.0, -2.0, 0.5])) for _ in range(400))
+    right = sorted((rng.randrange(12), rng.randrange(25), rng.choice([1.0, 2.0])) for _ in range(300))
+    for sent in (1, 50, 1 << 20):
+        monkeypatch.setattr(T, "SENT", sent)
+        for other in (None, right):
+            want, got = defaultdict(float), defaultdict(float)
+            for k, i, v in left:
+                for k2, j, w in left if other is None else other:
+                    if k == k2:
+                        want[i, j] += v * w
+            arrays = [None if rows is None else tuple(map(np.array, zip(*rows))) for rows in (left, other)]
+            merged = [None if x is None else tuple(T._merged(x[0], np.zeros(len(x[0]), bool), x[1], x[2])[c] for c in (0, 2, 3)) for x in arrays]
+            for batch in T._dealt(*merged, 8):
+                for gi, gj, kinds, *numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                    n, m, i, j, v, w = (np.frombuffer(x, T._KINDS[int(kind)]) for x, kind in zip(numbers, kinds))
+                    if other is None and gi == gj:
+                        m, j, w = n, i, v
+                    x = y = 0
+                    for p, q in zip(map(int, n), map(int, m)):
+                        for r in range(x, x + p):
+                            for c in range(y, y + q):
+                                at = gi * 8 + int(i[r]), gj * 8 + int(j[c])
+                                got[at] += float(v[r]) * float(w[c])
+                                if other is None and gi != gj:
+                                    got[at[::-1]] += float(v[r]) * float(w[c])
+                        x, y = x + p, y + q
+            assert got.keys() == want.keys() and got == pytest.approx(want)
+
+
+def test_inner_indexes_longer_than_what_is_dealt_at_once(spark, monkeypatch):
+    monkeypatch.setattr(T, "DEALT", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        entries = [(i - 9, j, 1.0 + i % 3) for j in (0, 4) for i in range(40)] + [(3, 1, 2.0)] * 30
+        got = {(r.i, r.j): r.v for r in T.gram(frame(spark, entries), 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    a = np.zeros((49, 5))
+    for i, j, v in entries:
+        a[i + 9, j] += v
+    want = a @ a.T
+    assert got == {(i - 9, k - 9): want[i, k] for i, k in np.argwhere(want).tolist()}
