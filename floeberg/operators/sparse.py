@@ -32,6 +32,13 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return T.product(a, b)
 
 
+def gram(a: DataFrame) -> DataFrame:
+    """A A'.  The transposed side is not exchanged: an entry goes to its inner index once, and of two mirrored parts of the result one is made."""
+    from . import tiles as T
+
+    return T.gram(a)
+
+
 def block_multiply(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     """The same by square tiles of a given size."""
     from . import tiles as T

@@ -239,3 +239,20 @@ def test_inner_indexes_longer_than_what_is_dealt_at_once(spark, monkeypatch):
         a[i + 9, j] += v
     want = a @ a.T
     assert got == {(i - 9, k - 9): want[i, k] for i, k in np.argwhere(want).tolist()}
+
+
+def test_matmul_coo_exchanges_each_entry_once(spark, tmp_path):
+    """The query's matrix meets itself: its entries go to their part once, not once for each side."""
+    from floeberg import plans
+
+    rng = random.Random(6)
+    items = [(rng.randrange(40), rng.randrange(25)) for _ in range(300)]
+    spark.createDataFrame([(s, p, 1.0) for s, p in items], "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.queries()["matmul_coo"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    want = {}
+    for s, p in items:
+        for t, q in items:
+            if p == q:
+                want[s, t] = want.get((s, t), 0.0) + 1.0
+    assert {(r.i, r.j): r.v for r in got.collect()} == want
